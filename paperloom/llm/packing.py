@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,77 +22,100 @@ STEP = 16
 DEPTH = 3
 END_ID = 2
 #: Encoded words that a worker keeps; when full, it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
+#: Characters whose words are looked up together.
+GROUP_CHARS = 2_000_000
 
 
 class WordEncoder:
-    """Ids of a text under a tokenizer whose pre-tokenizer drops white space, exactly as ``tokenizers`` gives them.
+    """Ids of texts under a tokenizer whose pre-tokenizer drops white space, exactly as ``tokenizers`` gives them.
 
     No token spans a blank or a line feed, so a text's ids are those of its blank-separated words, and each
-    different word is encoded once. Words of letters below U+0250 go to the model directly, after the steps that the file's
-    normalizer and pre-tokenizer state; any other word goes through the whole tokenizer.
+    different word is encoded once. Words of ASCII and Latin letters go through the steps that the tokenizer file states (lower case, split, byte
+    alphabet) and to the model directly; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
-        from tokenizers import Regex, Tokenizer, pre_tokenizers  # noqa: F401
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        # The split pattern that the tokenizer file states.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.plain = regex.compile(r"[\x21-\x7e¡-įı-ɏ]+")
-        # The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
+        # The file's split pattern, for the letters, digits and marks that `plain` lets through.
+        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[!-/:-@\[-`{-~\xd7\xf7]+| ")
+        self.plain = re.compile("[ -~\xc0-\u012f\u0131-\u024f]*")
+        # The byte alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
         kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(kept)]
         self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.reset()
 
     def reset(self) -> None:
-        enc = self
-
-        class Words(dict):
-            def __missing__(self, word: str) -> int:
-                return enc.add(word)
-
-        self.words, self.parts, self.n = Words(), {}, 0
-        self.start, self.size, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.words: dict[str, int] = {"": 0}
+        self.parts: dict[str, list[int]] = {}
+        self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def part(self, token: str) -> list[int]:
-        if (ids := self.parts.get(token)) is None:
-            text = token if token.isascii() else "".join(map(self.alphabet.__getitem__, token.encode()))
-            ids = self.parts[token] = [x.id for x in self.model.tokenize(text)]
-        return ids
-
-    def encode_word(self, word: str) -> list[int]:
-        if not word:
-            return []
-        if "<|" in word or not self.plain.fullmatch(word):
-            return self.whole.encode(word, add_special_tokens=False).ids
-        return [i for t in self.split.findall(word.lower()) for i in self.part(t)]
-
-    def add(self, word: str) -> int:
-        ids, k = self.encode_word(word), self.n
-        if k == len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.start[k], self.size[k] = self.used, len(ids)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.n += 1
-        if len(word) <= 64:
-            self.words[word] = k
-        return k
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.n > CACHE_WORDS or self.used > 8 * CACHE_WORDS:
+        text = token if token.isascii() else "".join(map(self.alphabet.__getitem__, token.encode()))
+        return [x.id for x in self.model.tokenize(text)]
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each of the words, none of which holds a blank."""
+        joined = " ".join(words)
+        if "<|" in joined or not self.plain.fullmatch(joined):
+            if len(words) == 1:
+                return [self.whole.encode(words[0], add_special_tokens=False).ids]
+            odd = {w for w in words if "<|" in w or not self.plain.fullmatch(w)}
+            plain = iter(self.encode_words(usual) if (usual := [w for w in words if w not in odd]) else [])
+            return [self.encode_words([w])[0] if w in odd else next(plain) for w in words]
+        tokens = self.split.findall(joined.lower())
+        parts = self.parts
+        for t in set(tokens) - parts.keys():
+            parts[t] = self.part(t) if t != " " else []
+        out, row = [], []
+        for t in tokens:
+            if t == " ":
+                out.append(row)
+                row = []
+            else:
+                row += parts[t]
+        out.append(row)
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        ids = self.encode_words(new)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        start = len(self.flat) + np.cumsum(size) - size
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.start, self.size = np.r_[self.start, start], np.r_[self.size, size]
+        self.flat = np.r_[self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        lists = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.words) > CACHE_WORDS or len(self.flat) > 8 * CACHE_WORDS:
             self.reset()
-        words = text.replace("\n", " ").split(" ")
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
+        if new := list(set().union(*lists) - self.words.keys()):
+            self.learn(new)
+        out = []
+        for words in lists:
+            at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            size = self.size[at]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])])
+        return out
+
+
+def in_groups(items: list[str], size: int) -> Iterator[list[str]]:
+    """Consecutive items, about size characters together."""
+    group: list[str] = []
+    n = 0
+    for x in items:
+        group.append(x)
+        n += len(x)
+        if n >= size:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
 
 
 @lru_cache(maxsize=2)
@@ -108,8 +132,10 @@ def pieces(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int
         enc = encoder(tokenizer)
         for batch in it:
             out: dict[str, list] = {f.name: [] for f in schema}
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.append(enc.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            encoded = (x for group in in_groups(texts, GROUP_CHARS) for x in enc.encode_all(group))
+            for key, got in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                got = np.append(got, np.uint32(end_id)).astype("<u4")
                 for a in range(0, len(got), window):
                     piece = got[a : a + window]
                     row = (key, a, len(piece), zlib.crc32(piece.tobytes()), len(got)) + ((piece.tolist(),) if ids else ())
