@@ -75,11 +75,12 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, dice: floa
     grams = {name: sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for name, w in words_of.items()}
     table = spark.createDataFrame([(n, w, s, b, i, grams[n]) for n, w, s, b, i in probes] or [("", 0, 0, "", 0, [])], "license string, t_words int, t_size int, bigram string, place int, t_grams array<string>")
     rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
-    rows = rows.select("doc_id", normalised(F.col("text")).alias("norm"))
+    # A generator of one row keeps the optimiser from repeating the expression wherever its result is used.
+    rows = rows.select("doc_id", F.explode(F.array(normalised(F.col("text")))).alias("norm"))
     some = F.lit(False)
     for b in sorted({p[3] for p in probes}):
         some = some | F.contains("norm", F.lit(f" {b} "))
-    rows = rows.where(some).select("doc_id", F.split(F.trim("norm"), " ").alias("words"))
+    rows = rows.where(some).select("doc_id", F.explode(F.array(F.split(F.trim("norm"), " "))).alias("words"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
     met = rows.where(F.size("words") > 1).select("doc_id", "words", F.posexplode(pairs).alias("at", "bigram")).join(F.broadcast(table), "bigram")
     start = F.col("at") - F.col("place")
@@ -88,7 +89,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, dice: floa
     own = F.array_distinct(F.transform(F.sequence(F.col("from") + 1, F.col("to") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1))))
     found = laid.select("doc_id", "license", "t_words", "t_size", "from", "to", F.size(own).alias("size"), F.size(F.array_intersect(own, F.col("t_grams"))).alias("shared"))
     found = found.withColumn("dice", 2.0 * F.col("shared") / (F.col("size") + F.col("t_size"))).where(F.col("dice") >= dice)
-    near = Window.partitionBy("doc_id", "license").orderBy(F.col("from") / F.col("t_words")).rangeBetween(-0.9999, 0.9999)
+    near = Window.partitionBy("doc_id", "license").orderBy(F.expr("`from` * 10000L div t_words")).rangeBetween(-9999, 9999)  # starts less than a template apart
     best = F.max(F.struct(F.col("dice"), -F.col("from"))).over(near)
     found = found.withColumn("best", best).where((F.col("best.dice") == F.col("dice")) & (F.col("best.col2") == -F.col("from")))
     return found.select("doc_id", "license", F.col("from").alias("start_word"), (F.col("to") - F.col("from")).alias("n_words"), "shared", "dice")

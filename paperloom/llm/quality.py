@@ -89,8 +89,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, *, n_features: int = FEATURES, support: int = SUPPORT, z: float = Z) -> Model:
     """Per feature and fault, log odds between documents with and without it, counted over all labelled documents and shrunk by their own error.
 
-    Empirical Bayes: a feature's log odds ratio r with variance v gets weight r * (1 - v / r^2 ...) only where it stands z errors from 0; the
-    n_features with most evidence come to the driver.
+    A log odds ratio r with variance v has weight r * max(0, 1 - v / r^2), and only where it stands z errors or more from 0; the
+    n_features with most evidence for a fault come to the driver.
     """
     marked = docs.join(labels, "doc_id")
     totals = marked.agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, sharding
+from . import chunks, common, decontaminate, jaccard, licenses, packing, quality, sharding, suffix, tokens, topk
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,10 +16,45 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def digest_of_kept(kept: DataFrame) -> DataFrame:
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_of_kept(suffix.dedup(common.documents(spark, sf_dir)))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_of_kept(chunks.dedup(common.documents(spark, sf_dir)))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(common.documents(spark, sf_dir))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.exact_top(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_by_section(common.documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle_into_shards(common.documents(spark, sf_dir))
     text = F.coalesce("text", F.lit(""))
@@ -28,11 +63,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op5_packing": op5_packing,
-        "op9_sharding": op9_sharding,
-    }
+    found = [op1_suffix_dedup, op2_substring_dedup, op3_jaccard_join, op4_license_scan, op5_packing, op6_decontamination, op7_exact_topk, op8_token_counts, op9_sharding, op10_quality]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

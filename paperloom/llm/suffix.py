@@ -147,12 +147,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def powers() -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int = SLAB) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2^64."""
     out = []
     for b in (int(C1) | 1, pow(int(C1) | 1, -1, 1 << 64)):
-        p = np.ones(SLAB + 256, np.uint64)
-        p[1:] = U(b)
+        p = np.full(n + 256, U(b))
+        p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
