@@ -84,12 +84,12 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, dice: floa
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
     met = rows.where(F.size("words") > 1).select("doc_id", "words", F.posexplode(pairs).alias("at", "bigram")).join(F.broadcast(table), "bigram")
     start = F.col("at") - F.col("place")
-    laid = met.select("doc_id", "license", "t_words", "t_size", "t_grams", F.greatest(start, F.lit(0)).alias("from"), F.least(start + F.col("t_words"), F.size("words")).alias("to"), start.alias("start"), "words").dropDuplicates(["doc_id", "license", "start"])
+    laid = met.select("doc_id", "license", "t_words", "t_size", "t_grams", F.greatest(start, F.lit(0)).alias("from"), F.least(start + F.col("t_words"), F.size("words")).alias("to"), "words").dropDuplicates(["doc_id", "license", "from", "to"])
     laid = laid.where((F.col("to") - F.col("from") - 1) * (2 - dice) >= F.col("t_size") * dice)
     own = F.array_distinct(F.transform(F.sequence(F.col("from") + 1, F.col("to") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1))))
     found = laid.select("doc_id", "license", "t_words", "t_size", "from", "to", F.size(own).alias("size"), F.size(F.array_intersect(own, F.col("t_grams"))).alias("shared"))
     found = found.withColumn("dice", 2.0 * F.col("shared") / (F.col("size") + F.col("t_size"))).where(F.col("dice") >= dice)
     near = Window.partitionBy("doc_id", "license").orderBy(F.expr("`from` * 10000L div t_words")).rangeBetween(-9999, 9999)  # starts less than a template apart
-    best = F.max(F.struct(F.col("dice"), -F.col("from"))).over(near)
-    found = found.withColumn("best", best).where((F.col("best.dice") == F.col("dice")) & (F.col("best.col2") == -F.col("from")))
+    best = F.max(F.struct(F.col("dice"), (-F.col("from")).alias("back"), F.col("to"))).over(near)
+    found = found.withColumn("best", best).where((F.col("best.dice") == F.col("dice")) & (F.col("best.back") == -F.col("from")) & (F.col("best.to") == F.col("to")))
     return found.select("doc_id", "license", F.col("from").alias("start_word"), (F.col("to") - F.col("from")).alias("n_words"), "shared", "dice")

@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, n_features: int = FEATURES, suppo
     base = []
     counts = common.table(marked.select("text", "low", "toxic").mapInArrow(count_features, COUNTS).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "n_low", "n_toxic"))).where(F.col("n") >= support), "features") if n else None
     for k, (column, bad) in enumerate((("n_low", totals["low"] or 0), ("n_toxic", totals["toxic"] or 0))):
-        base.append(math.log((bad + 0.5) / (n - bad + 0.5)))
+        base.append(math.log((bad + 0.5) / (n - bad + 0.5)) if n else -30.0)
         if counts is None or not bad or bad == n:
             continue
         a, b = F.col(column) + 0.5, F.col("n") - F.col(column) + 0.5

@@ -80,7 +80,7 @@ def sort_directly(at: np.ndarray, w: np.ndarray, depth: int) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes ordered by their first depth bytes, and the eight-byte words used.
+    """Suffixes ordered by their first depth bytes (as if zeros followed the text), and the eight-byte words used.
 
     Two stages: suffixes smaller than their successor are sorted directly; a scan of the buckets (suffixes by first byte, in
     ascending order) then puts each other suffix behind those of its bucket whose successors came earlier.
