@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -35,9 +36,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of finished steps whose results are in tables."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Have Spark delete the shuffle files of finished steps whose results are in tables.
+
+    Python's handles go first, and the JVM notices that in a later collection; the files themselves go in the background.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

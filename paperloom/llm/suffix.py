@@ -416,6 +416,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, h
     singles = found.where("not is_span")
     groups = singles.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     wanted = singles.join(groups, "k1").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "at", "n", (F.col("c") > hot_group).alias("hot"))).alias("wanted"))
+    wanted = common.table(wanted, "wanted")
+    common.let_go(spark)
     texts = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut_texts(length), TEXTS)
     more = texts.repartition(common.cores(spark), "key").sortWithinPartitions("key").mapInArrow(compare(length, block), SPANS)
     more = common.table(more, "spans")
