@@ -232,7 +232,12 @@ def verify(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFr
     return links
 
 
-TILES = "key long, side int, doc_id long, n long, component long, bits array<long>"
+def place_fits(n: Column, at: Column, m: Column, to: Column, percent: int) -> Column:
+    """Whether a shingle at these places of two ordered sets can be the first that they share: all that they share comes from there on. Similar sets pass at their first."""
+    return F.least(n - at, m - to) * (100 + percent) >= percent * (n + m)
+
+
+TILES = "key long, side int, doc_id long, n long, pos int, component long, bits array<long>"
 
 
 def compare_tiles(percent: int):
@@ -243,11 +248,12 @@ def compare_tiles(percent: int):
         rows: list[tuple] = []
 
         def pairs() -> pa.RecordBatch:
-            side, doc, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4))
-            bits = np.array([r[5] for r in rows], np.int64).view(np.uint64)
+            side, doc, n, pos, comp = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4, 5))
+            bits = np.array([r[6] for r in rows], np.int64).view(np.uint64)
             left, right = [], []
             for i in range(len(rows)):
                 ok = (comp != comp[i]) & (doc > doc[i]) & ((side == 0) & (side[i] == 0) | (side != side[i]))
+                ok &= np.minimum(n - pos, n[i] - pos[i]) * (100 + percent) >= percent * (n + n[i])
                 at = np.flatnonzero(ok & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
                 if len(at):
                     apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -271,7 +277,7 @@ def compare_tiles(percent: int):
 def tiled(groups: DataFrame, percent: int) -> DataFrame:
     """Tile pairs of each token's members. Up to TILE members are one tile; more are banded by size, so that only neighbouring bands
     can be similar, and bands cut into tiles by hash; each pair of tiles that may hold similar rows is a task's key."""
-    small = groups.where(F.col("members") <= TILE).select(F.xxhash64("token").alias("key"), F.lit(0).alias("side"), "doc_id", "n", "component", "bits")
+    small = groups.where(F.col("members") <= TILE).select(F.xxhash64("token").alias("key"), F.lit(0).alias("side"), "doc_id", "n", "pos", "component", "bits")
     large = groups.where(F.col("members") > TILE)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
     cuts = F.ceil(F.col("members") / TILE).cast("int")
@@ -280,7 +286,7 @@ def tiled(groups: DataFrame, percent: int) -> DataFrame:
     within = F.transform(every, lambda j: F.struct(F.xxhash64("token", "band", F.least(j, F.col("tile")), F.greatest(j, F.col("tile")), F.lit(0)).alias("key"), F.when(j == F.col("tile"), 0).when(j > F.col("tile"), 1).otherwise(2).alias("side")))
     up = F.transform(every, lambda j: F.struct(F.xxhash64("token", "band", F.col("tile"), j, F.lit(1)).alias("key"), F.lit(1).alias("side")))
     down = F.transform(every, lambda j: F.struct(F.xxhash64("token", F.col("band") - 1, j, F.col("tile"), F.lit(1)).alias("key"), F.lit(2).alias("side")))
-    large = large.withColumn("at", F.explode(F.concat(within, up, down))).select("at.key", "at.side", "doc_id", "n", "component", "bits")
+    large = large.withColumn("at", F.explode(F.concat(within, up, down))).select("at.key", "at.side", "doc_id", "n", "pos", "component", "bits")
     return small.unionByName(large)
 
 
@@ -289,7 +295,7 @@ def join(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col
 
     1. Documents with equal sets are one class (its smallest id); only class representatives go on.
     2. Similar sets share a shingle of their prefixes, under an order of all shingles that puts those of over one document in a thousand
-       last (counted over all documents). Each shingle's group has its smallest member as hub: pairs of members and hubs, pruned by size and by
+       last (counted over all documents), and their first common one at places that leave enough behind it. Each shingle's group has its smallest member as hub: pairs of members and hubs, pruned by size and by
        bitmaps, are intersected exactly.
     3. In groups that these links leave in several components all remaining pairs are looked at, as tiles: banded by size, bitmaps
        bound the overlap from above, and what passes is intersected exactly. Pairs that are in one component already need no test.
@@ -310,11 +316,12 @@ def join(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col
     reps = classes.select(F.col("class_id").alias("doc_id"))
     held = common.table(rows.join(reps, "doc_id").select("doc_id", "text").mapInArrow(prefixes(size, percent, late), PREFIX), "prefixes")
     common.let_go(spark)
-    tokens = held.select("doc_id", "n", F.explode("prefix").alias("token"))
-    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("hub")).where("members > 1")
+    tokens = held.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
+    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "n", "pos")).alias("hub")).where("members > 1")
     members = common.table(tokens.join(groups, "token"), "members")
     common.let_go(spark)
-    stars = members.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    may_be_first = place_fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent)
+    stars = members.where((F.col("doc_id") != F.col("hub.doc_id")) & may_be_first).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = verify(prune(stars, held, percent), rows, size, percent)
     first = components(links, "a", "b")
     placed = members.join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
