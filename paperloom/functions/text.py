@@ -65,8 +65,8 @@ def strict_locale(col: Column) -> Column:
 def cell_span(col: Column) -> Column:
     """A span attribute's leading digits as a number from 1 to 64; 1 without digits."""
     digits = F.regexp_extract(strip(F.coalesce(col, F.lit(""))), "^[0-9]+", 0)
-    short = F.greatest(F.lit(1), F.least(F.lit(schemas.MAX_SPAN), digits.try_cast("int")))
-    return F.when(F.length(F.ltrim(digits, F.lit("0"))) > 2, schemas.MAX_SPAN).otherwise(F.coalesce(short, F.lit(1)))
+    short = F.greatest(F.lit(1), F.least(F.lit(schemas.MAX_SPAN), F.when(digits != "", F.regexp_replace(digits, "^0+(?=.)", "")).try_cast("int")))
+    return F.when(F.length(F.ltrim(digits, F.lit("0"))) > 2, schemas.MAX_SPAN).when(digits == "", 1).otherwise(F.coalesce(short, F.lit(1)))
 
 
 def entities(col: Column) -> Column:
