@@ -14,14 +14,15 @@ from . import common
 
 #: Features kept for each label, which bounds what the driver and the executors hold; labelled documents that a feature needs.
 FEATURES, SUPPORT = 4096, 5
-#: Least evidence of a feature: log odds over their standard error.
+#: Labelled documents on which the weights of shape and evidence are fitted.
+SAMPLE = 20_000
+#: Least evidence of a word: log odds over their standard error.
 Z = 4.0
 #: Reject at this probability of a fault.
 REJECT = 0.5
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 UPPER = bytes(range(65, 91))
-ALNUM = bytes(c for c in range(128) if chr(c).isalnum()) + bytes(range(128, 256))
 
 
 def step(x: float) -> int:
@@ -29,16 +30,21 @@ def step(x: float) -> int:
     return 0 if x <= 0.01 else min(7, 1 + max(0, math.ceil(math.log2(max(x, 1e-9) / 0.02))))
 
 
-def features(text: bytes) -> set[bytes]:
-    """Different words (letters only, A-Z folded) and the shape of the text: parts of marks, capitals, repeated neighbours and different words, by steps."""
-    words = text.translate(FOLD).split()
-    out = set(words)
-    if (n := len(text)) and len(words) > 4:
-        marks = n - len(text.translate(None, MARKS))
-        upper = n - len(text.translate(None, UPPER))
-        same = sum(map(bytes.__eq__, words, words[1:]))
-        out |= {b"#marks%d" % step(marks / n), b"#upper%d" % step(upper / n), b"#same%d" % step(same / len(words))}
-    return out
+def words_of(text: bytes) -> list[bytes]:
+    """Words of letters only, A-Z folded."""
+    return text.translate(FOLD).split()
+
+
+def shape(text: bytes, words: list[bytes]) -> list[int]:
+    """The text's shape as places in a vector of SHAPES: parts of capitals, of repeated neighbours, of marks and of each mark, by steps. Few words have no shape."""
+    n = len(text)
+    if len(words) <= 4:
+        return []
+    parts = [(n - len(text.translate(None, UPPER))) / n, sum(map(bytes.__eq__, words, words[1:])) / len(words), (n - len(text.translate(None, MARKS))) / n]
+    return [8 * k + step(x) for k, x in enumerate([*parts, *(text.count(m) / n for m in MARKS)])]
+
+
+SHAPES = 8 * (3 + len(MARKS))
 
 
 COUNTS = "feature binary, n long, n_low long, n_toxic long"
@@ -56,8 +62,8 @@ def count_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in it:
         for text, low, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for f in features(text or b""):
-                row = held.setdefault(f[:64], [0, 0, 0])
+            for f in {w[:64] for w in words_of(text or b"")}:
+                row = held.setdefault(f, [0, 0, 0])
                 row[0] += 1
                 row[1] += low
                 row[2] += toxic
@@ -72,43 +78,78 @@ def logit(p: Column) -> Column:
 
 
 class Model:
-    """Weights of features for the two faults, low quality and toxic; a document's log odds are the base rate's plus its features'."""
+    """Log odds of the two faults, low quality and toxic: a linear function of a document's shape and of the evidence of its words."""
+
+    def __init__(self, words: dict[bytes, tuple[float, float]], weights: np.ndarray) -> None:
+        self.words, self.weights = words, weights
 
-    def __init__(self, base: tuple[float, float], weights: dict[bytes, tuple[float, float]]) -> None:
-        self.base, self.weights = base, weights
+    def evidence(self, text: bytes) -> tuple[float, float, list[int]]:
+        """Summed weights of the document's different words for each fault, and its shape."""
+        words = words_of(text)
+        hits = [self.words[w] for w in self.words.keys() & {w[:64] for w in words}]
+        return sum(h[0] for h in hits), sum(h[1] for h in hits), shape(text, words)
 
     def score(self, text: bytes) -> tuple[float, float]:
-        low, toxic = self.base
-        for f in self.weights.keys() & {x[:64] for x in features(text)}:
-            a, b = self.weights[f]
-            low += a
-            toxic += b
-        return max(-30.0, min(30.0, low)), max(-30.0, min(30.0, toxic))
+        low, toxic, bins = self.evidence(text)
+        x = self.weights[:, :5] @ word_terms(low, toxic) + self.weights[:, [5 + b for b in bins]].sum(axis=1)
+        return float(np.clip(x[0], -30, 30)), float(np.clip(x[1], -30, 30))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, n_features: int = FEATURES, support: int = SUPPORT, z: float = Z) -> Model:
-    """Per feature and fault, log odds between documents with and without it, counted over all labelled documents and shrunk by their own error.
+def word_terms(low: float, toxic: float) -> np.ndarray:
+    return np.array([1.0, min(low, 20) / 5, low > 0, min(toxic, 20) / 5, toxic > 0])
 
-    A log odds ratio r with variance v has weight r * max(0, 1 - v / r^2), and only where it stands z errors or more from 0; the
-    n_features with most evidence for a fault come to the driver.
-    """
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method; the first column, a constant, is not held back."""
+    w, hold = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    hold[0] = 1e-6
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step_ = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(hold), x.T @ (y - p) - hold * w)
+        w += step_
+        if np.abs(step_).max() < 1e-6:
+            break
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, n_features: int = FEATURES, support: int = SUPPORT, z: float = Z, sample: int = SAMPLE) -> Model:
+    """Words are weighed over all labelled documents, by grouped counts: a log odds ratio r with variance v has weight
+    r * max(0, 1 - v / r^2), where it stands z errors or more above 0; the n_features words with most evidence for a fault come to the driver. How their sums and the
+    text's shape go together is fitted on at most ``sample`` labelled documents, those with the smallest hashes of their ids."""
     marked = docs.join(labels, "doc_id")
     totals = marked.agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()
     n = totals["n"] or 0
-    weights: dict[bytes, list[float]] = {}
-    base = []
-    counts = common.table(marked.select("text", "low", "toxic").mapInArrow(count_features, COUNTS).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "n_low", "n_toxic"))).where(F.col("n") >= support), "features") if n else None
-    for k, (column, bad) in enumerate((("n_low", totals["low"] or 0), ("n_toxic", totals["toxic"] or 0))):
-        base.append(math.log((bad + 0.5) / (n - bad + 0.5)) if n else -30.0)
-        if counts is None or not bad or bad == n:
-            continue
+    if not n:
+        weights = np.zeros((2, 5 + SHAPES))
+        weights[:, 0] = -30
+        return Model({}, weights)
+    counts = common.table(marked.select("text", "low", "toxic").mapInArrow(count_features, COUNTS).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "n_low", "n_toxic"))).where(F.col("n") >= support), "features")
+    words: dict[bytes, list[float]] = {}
+    for k, (column, bad) in enumerate((("n_low", totals["low"]), ("n_toxic", totals["toxic"]))):
         a, b = F.col(column) + 0.5, F.col("n") - F.col(column) + 0.5
         c, d = F.lit(bad) - F.col(column) + 0.5, F.lit(n - bad) - (F.col("n") - F.col(column)) + 0.5
         ratio, var = F.log(a * d / (b * c)), 1 / a + 1 / b + 1 / c + 1 / d
-        top = counts.select("feature", ratio.alias("r"), var.alias("v")).withColumn("z", F.abs("r") / F.sqrt("v")).where(F.col("z") >= z).orderBy(F.desc("z"), "feature").limit(n_features).collect()
-        for row in top:
-            weights.setdefault(bytes(row["feature"]), [0.0, 0.0])[k] = row["r"] * max(0.0, 1 - row["v"] / row["r"] ** 2)
-    return Model((base[0], base[1]), {f: (w[0], w[1]) for f, w in weights.items()})
+        top = counts.select("feature", ratio.alias("r"), var.alias("v")).withColumn("z", F.col("r") / F.sqrt("v")).where(F.col("z") >= z)
+        for row in top.orderBy(F.desc("z"), "feature").limit(n_features).collect():
+            words.setdefault(bytes(row["feature"]), [0.0, 0.0])[k] = row["r"] * max(0.0, 1 - row["v"] / row["r"] ** 2)
+    model = Model({w: (x[0], x[1]) for w, x in words.items()}, np.zeros((2, 5 + SHAPES)))
+    ddl = "low int, toxic int, by_words double, by_toxic_words double, bins array<int>"
+
+    def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = [model.evidence(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield common.batches({"low": batch.column(1).to_pylist(), "toxic": batch.column(2).to_pylist(), "by_words": [r[0] for r in rows], "by_toxic_words": [r[1] for r in rows], "bins": [r[2] for r in rows]}, common.arrow_schema(ddl))
+
+    chosen = marked.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) if n > sample else None
+    picked = marked.join(chosen, "doc_id", "left_semi") if chosen is not None else marked
+    got = picked.select("text", "low", "toxic").mapInArrow(vectors, ddl).collect()
+    x = np.zeros((len(got), 5 + SHAPES))
+    for row, g in zip(x, got, strict=True):
+        row[:5] = word_terms(g["by_words"], g["by_toxic_words"])
+        row[[5 + b for b in g["bins"]]] = 1
+    for k, name in enumerate(("low", "toxic")):
+        model.weights[k] = logistic(x, np.array([g[name] for g in got], float))
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", model: Model | None = None) -> DataFrame:

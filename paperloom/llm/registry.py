@@ -67,8 +67,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_substring_dedup, op3_jaccard_join, op4_license_scan, op5_packing, op6_decontamination, op7_exact_topk, op8_token_counts, op9_sharding, op10_quality]
+    found = [op1_suffix_dedup, op2_substring_dedup, op3_jaccard_join, op4_license_scan, op5_packing, op6_decontamination, op7_exact_topk, op8_token_counts, op9_sharding, op10_quality, pipeline]
     return {f.__name__: f for f in found}
 
 

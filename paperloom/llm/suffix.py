@@ -7,9 +7,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -457,3 +459,9 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text
     spans = repeated_spans(docs, length=length, id_col=id_col, text_col=text_col, **how)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(keep_rest, KEPT)
+
+
+@F.pandas_udf(T.StringType())
+def whole_characters(kept: pd.Series) -> pd.Series:
+    """Kept bytes as text, without the parts of characters that a cut has left."""
+    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
