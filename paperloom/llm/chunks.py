@@ -14,7 +14,7 @@ from . import common, suffix
 #: A cut falls where this many leading bits of the rolling hash are zero; chunks hold LEAST to MOST bytes.
 BITS, LEAST, MOST = 6, 24, 512
 SEED = 11
-HELD = 2_000_000
+HELD = 500_000
 
 #: The gear table: 256 numbers of 32 bits from a seeded generator.
 GEAR = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 32, 256, dtype=np.uint32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -15,10 +16,12 @@ from . import common
 
 K1, B = 1.2, 0.75
 #: A passage is fetched for an item when its score is this part of the item's own.
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 SHINGLE, OVERLAP = 5, 0.8
 #: Items in a block that shares upper bounds; items in one index, which is what a broadcast holds at most.
-BLOCK, ITEMS = 16, 20_000
+BLOCK, ITEMS = 8, 2_000
+#: Passages whose bounds are held at once.
+STRIDE = 256
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -64,48 +67,55 @@ class Index:
                 own[i] += idf * x
                 p[k] = (i, idf * x)
         self.terms = {t: k for k, t in enumerate(sorted(postings))}
-        lists = [postings[t] for t in self.terms]
-        self.first = np.cumsum([0, *map(len, lists)])
-        self.item = np.array([i for p in lists for i, _ in p], np.int64)
-        self.impact = np.array([x / own[i] for p in lists for i, x in p])
-        self.block = block
-        self.blocks = -(-n // block)
-        self.bounds = np.zeros((len(lists), self.blocks), np.float32)
-        term = np.repeat(np.arange(len(lists)), np.diff(self.first))
-        np.maximum.at(self.bounds, (term, self.item // block), (self.impact * (1 + 1e-6)).astype(np.float32))
-        self.most = self.bounds.max(axis=1, initial=0)
-
-    def above(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Items whose score for the different terms of a passage reaches the threshold.
-
-        Blocks in which the terms' largest impacts add up to less are skipped. In the others terms go by falling bound, and once what is left
-        cannot lift an unseen item to the threshold (the pivot), only items already met are scored on.
-        """
-        bounds = self.bounds[terms]
+        rows = [(i // block, k, i, x / own[i]) for t, k in self.terms.items() for i, x in postings[t]]
+        rows.sort()
+        blocks, term, self.item, self.impact = (np.array([r[c] for r in rows], kind) for c, kind in enumerate((np.int64, np.int64, np.int64, np.float64)))
+        self.block, self.blocks, self.unknown = block, -(-n // block), len(self.terms)
+        #: By block and term: postings from first to last, and the largest impact; the last row is for words that no item has.
+        self.first = np.searchsorted(blocks * (self.unknown + 1) + term, np.arange(self.blocks * (self.unknown + 1) + 1))
+        self.bounds = np.zeros((self.unknown + 1, self.blocks), np.float32)
+        np.maximum.at(self.bounds, (term, blocks), (self.impact * (1 + 1e-6)).astype(np.float32))
+
+    def scores(self, block: int, terms: np.ndarray) -> np.ndarray:
+        """Scores of a block's items for different terms."""
+        at = block * (self.unknown + 1) + terms
+        size = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(size)
+        rows = np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.item[rows] - block * self.block, self.impact[rows], minlength=self.block)
+
+    def passages(self, known: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the passages, windows of two halves, and for each and every block the sum of its different words' largest impacts."""
+        n = len(known)
+        cut = np.arange(0, n, half)
+        order = np.argsort(known, kind="stable")
+        same = np.flatnonzero(known[order[1:]] == known[order[:-1]])
+        before = np.full(n, -1)
+        before[order[same + 1]] = order[same]
+        begin = np.arange(n) // half * half
+        impact = self.bounds[known]
+        first = np.add.reduceat(np.where((before < begin)[:, None], impact, 0), cut, axis=0)
+        second = np.add.reduceat(np.where((before < begin - half)[:, None], impact, 0), cut, axis=0)
+        if len(cut) == 1:
+            return cut, first
+        return cut[:-1], first[:-1] + second[1:]
+
+    def above(self, words: list[str], threshold: float) -> list[tuple[int, int, float]]:
+        """First word of the passage, item and score of every passage and item that reach the threshold. Only blocks whose bound reaches it are scored."""
+        if not words or not self.blocks:
+            return []
+        known = np.fromiter(map(self.terms.get, words, itertools.repeat(self.unknown)), np.int64, len(words))
+        half = max(32, self.longest)
         out = []
-        for b in np.flatnonzero(bounds.sum(axis=0) >= threshold):
-            order = np.argsort(-bounds[:, b], kind="stable")
-            left = np.cumsum(bounds[order[::-1], b])[::-1]
-            lo, n = b * self.block, min(self.block, len(self.ids) - b * self.block)
-            score, met = np.zeros(n), np.zeros(n, bool)
-            for k, rest in zip(order, left, strict=True):
-                if bounds[k, b] == 0:
-                    break
-                if rest < threshold:
-                    met &= score + rest >= threshold
-                    if not met.any():
-                        break
-                s, e = self.first[terms[k]], self.first[terms[k] + 1]
-                s, e = s + np.searchsorted(self.item[s:e], lo), s + np.searchsorted(self.item[s:e], lo + n)
-                at = self.item[s:e] - lo
-                if rest >= threshold:
-                    met[at] = True
-                else:
-                    at, s = at[met[at]], np.arange(s, e)[met[at]]
-                    score[at] += self.impact[s]
-                    continue
-                score[at] += self.impact[s:e]
-            out += [(lo + int(i), float(score[i])) for i in np.flatnonzero(met & (score >= threshold))]
+        for s in range(0, len(words), STRIDE * half):  # long texts a part at a time, which ends half a passage into the next
+            if s and len(words) - s <= half:
+                break
+            starts, bounds = self.passages(known[s : s + (STRIDE + 1) * half], half)
+            for p, b in zip(*np.nonzero(bounds >= threshold), strict=True):
+                a = s + int(starts[p])
+                terms = np.unique(known[a : a + 2 * half])
+                found = self.scores(int(b), terms[terms < self.unknown])
+                out += [(a, int(b) * self.block + int(i), float(found[i])) for i in np.flatnonzero(found >= threshold)]
         return out
 
     def overlap(self, item: int, words: list[str]) -> tuple[float, float]:
@@ -124,21 +134,12 @@ class Index:
         Passages are windows of twice the longest item's words, half a window apart, so an item's copy lies whole in one.
         """
         words = split_words(text)
-        known = np.fromiter(map(self.terms.get, words, [-1] * len(words)), np.int64, len(words)) if words else np.zeros(0, np.int64)
-        half = max(32, self.longest)
-        bound = np.r_[0, np.cumsum(np.where(known >= 0, self.most[known], 0))] if len(self.terms) else np.zeros(len(words) + 1)
         best: dict[int, tuple[int, int, float, float, float]] = {}
-        for a in range(0, max(1, len(words) - half), half):
-            b = min(len(words), a + 2 * half)
-            if bound[b] - bound[a] < threshold:
-                continue
-            terms = np.unique(known[a:b])
-            terms = terms[terms >= 0]
-            for item, score in self.above(terms, threshold):
-                q, r = self.overlap(item, words[a:b])
-                row = (self.ids[item], a, score, q, r)
-                if item not in best or (min(q, r), score, -a) > (min(best[item][3:]), best[item][2], -best[item][1]):
-                    best[item] = row
+        for a, item, score in self.above(words, threshold):
+            q, r = self.overlap(item, words[a : a + 2 * max(32, self.longest)])
+            row = (self.ids[item], a, score, q, r)
+            if item not in best or (min(q, r), score, -a) > (min(best[item][3:]), best[item][2], -best[item][1]):
+                best[item] = row
         return [best[i] for i in sorted(best)]
 
 

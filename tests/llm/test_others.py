@@ -1,5 +1,6 @@
 """Operators 4 to 10 against brute force, round trips or held-out accuracy."""
 
+import math
 import random
 import re
 import zlib
@@ -113,7 +114,8 @@ def test_plan_uses_every_piece_once():
 # ---------------------------------------------------------------- 6
 
 
-def test_leaks_are_found_and_scores_are_bm25(spark):
+def test_leaks_are_found_and_scores_are_bm25(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRIDE", 3)
     items = [" ".join(s.capitalize() for s in prose(k, 1, 60)) + ". " + " ".join(prose(100 + k, 1, 12)) + "." for k in range(30)]
     texts = prose(8, 60, 400) + [None, ""]
     planted = {i: (i * 7) % 30 for i in range(0, 60, 4)}
@@ -126,15 +128,28 @@ def test_leaks_are_found_and_scores_are_bm25(spark):
     parts = decontaminate.find_leaks(frame(spark, texts), bench, items=7).where("leak").select("doc_id", "item_id").collect()
     assert {tuple(x) for x in parts} >= set(long_enough.items())
     index = decontaminate.Index(list(range(30)), items)
+    half = max(32, index.longest)
+    vocabulary = [decontaminate.split_words(i) for i in items]
+    mean = sum(map(len, vocabulary)) / 30
+    frequency = Counter(w for v in vocabulary for w in set(v))
+
+    def impact(word, item):
+        tf, idf = vocabulary[item].count(word), math.log(1 + (30 - frequency[word] + 0.5) / (frequency[word] + 0.5))
+        return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(vocabulary[item]) / mean))
+
+    own = [sum(impact(w, i) for w in set(vocabulary[i])) for i in range(30)]
     for t in [x for x in texts if x][:25]:
-        terms = np.unique([index.terms[w] for w in decontaminate.split_words(t) if w in index.terms])
-        scores = np.zeros(30)
-        for k in terms:
-            scores[index.item[index.first[k] : index.first[k + 1]]] += index.impact[index.first[k] : index.first[k + 1]]
-        for threshold in (0.2, 0.5):
-            found = dict(index.above(terms, threshold)) if len(terms) else {}
-            assert found.keys() == set(np.flatnonzero(scores >= threshold).tolist())
-            assert all(abs(found[i] - scores[i]) < 1e-9 for i in found)
+        words = decontaminate.split_words(t)
+        for threshold in (0.2, 0.6):
+            want = {}
+            for a in range(0, max(1, len(words) - half), half):
+                held = set(words[a : a + 2 * half])
+                for i in range(30):
+                    score = sum(impact(w, i) for w in held & set(vocabulary[i])) / own[i]
+                    if score >= threshold:
+                        want[a, i] = score
+            got_ = {(a, index.ids[i]): x for a, i, x in index.above(words, threshold)}
+            assert got_.keys() == want.keys() and all(abs(got_[k] - want[k]) < 1e-9 for k in got_)
 
 
 # ---------------------------------------------------------------- 7
