@@ -269,3 +269,30 @@ def handle_outcome(jobs: DataFrame, outcomes: DataFrame, now: float) -> DataFram
 
 def backoff_ms(fails: Column, auth: Column) -> Column:
     return F.when(auth, 30_000).otherwise(F.least(F.lit(30_000), (F.lit(1000) * F.pow(F.lit(2), F.least(fails, F.lit(20)))).cast("int")))
+
+
+def clearable(jobs: DataFrame) -> DataFrame:
+    return jobs.where(is_terminal())
+
+
+def unused_uploads(jobs: DataFrame) -> DataFrame:
+    """Uploads that no active job uses."""
+    used = jobs.groupBy("upload_path").agg(F.bool_or(~is_terminal()).alias("used"))
+    return used.where("upload_path is not null and not used").select("upload_path")
+
+
+def failed_pages(pages: DataFrame) -> DataFrame:
+    """doc_id and the ascending numbers (from 1) of its pages (page_index, failed) that failed."""
+    return pages.where("failed").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("page_index") + 1)).alias("failed_pages"))
+
+
+def page_steps(pages: DataFrame) -> DataFrame:
+    """doc_id, current, total, percent after each page. Totals are joined, so that a document's pages are only counted together."""
+    total = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
+    rows = pages.join(total, "doc_id").withColumn("current", F.col("page_index") + 1)
+    return rows.select("doc_id", "current", "total", percent(F.col("current"), F.col("total")).alias("percent"))
+
+
+def submission_order(submissions: DataFrame) -> DataFrame:
+    """Each id once, the latest submission (seq) first."""
+    return submissions.groupBy("id").agg(F.max("seq").alias("seq")).orderBy(F.desc("seq"), "id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import markup as M
 from ..functions import text as X
-from ..operators import headings, jobs, layout, profile, requests
+from ..operators import headings, jobs, layout, messages, profile, requests
 from ..sources import fixtures
 from ..sources.fixtures import duck
 
@@ -303,6 +303,45 @@ def supervisor_outcomes(spark, sf_dir):
     return jobs.handle_outcome(table, watched, now_of(table)).select("id", "status", "attempts", "error")
 
 
+@query(f"SELECT id, status FROM jobs WHERE status IN {TERMINAL}", "jobs")
+def clearable_jobs(spark, sf_dir):
+    return jobs.clearable(fixtures.jobs(spark, sf_dir)).select("id", "status")
+
+
+@query(f"SELECT concat('/v/', CAST(id AS BIGINT) % 700) AS upload_path FROM jobs GROUP BY 1 HAVING count(*) FILTER (status NOT IN {TERMINAL}) = 0", "jobs")
+def unused_uploads(spark, sf_dir):
+    table = fixtures.jobs(spark, sf_dir).withColumn("upload_path", F.concat(F.lit("/v/"), (F.col("id").cast("long") % 700).cast("string")))
+    return jobs.unused_uploads(table)
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list(page_index + 1)), ',') AS failed_pages FROM pages WHERE (doc_id + page_index) % 7 = 0 GROUP BY doc_id", "pages")
+def failed_pages(spark, sf_dir):
+    rows = fixtures.pages(spark, sf_dir).withColumn("failed", (F.col("doc_id") + F.col("page_index")) % 7 == 0)
+    return jobs.failed_pages(rows).select("doc_id", F.array_join(F.col("failed_pages").cast("array<string>"), ",").alias("failed_pages"))
+
+
+@query("SELECT doc_id, page_index + 1 AS current, count(*) OVER (PARTITION BY doc_id) AS total, least(100, CAST(trunc((page_index + 1) / (count(*) OVER (PARTITION BY doc_id))::DOUBLE * 100) AS INT)) AS percent FROM pages", "pages")
+def page_steps(spark, sf_dir):
+    return jobs.page_steps(fixtures.pages(spark, sf_dir).select("doc_id", "page_index"))
+
+
+@query("SELECT user_id AS id, max(event_id) AS seq FROM events GROUP BY user_id")
+def submission_order(spark, sf_dir):
+    return jobs.submission_order(fixtures.read(spark, sf_dir, "events").selectExpr("user_id as id", "event_id as seq"))
+
+
+@query(
+    "SELECT id, CASE mode WHEN 'pdf' THEN CASE locale WHEN 'en' THEN 'Page ' || attempts || ' of {total}' ELSE '第 ' || attempts || ' 頁' END WHEN 'word' THEN '完成' ELSE 'odd_key' END AS message FROM jobs",
+    "jobs",
+)
+def localized_messages(spark, sf_dir):
+    held = [("page", "zh-TW", "第 {current} 頁"), ("page", "en", "Page {current} of {total}"), ("done", "zh-TW", "完成")]
+    table = spark.createDataFrame(held, "key string, locale string, template string")
+    key = F.when(F.col("mode") == "pdf", "page").when(F.col("mode") == "word", "done").otherwise("odd_key")
+    rows = fixtures.jobs(spark, sf_dir).withColumn("key", key)
+    return messages.localized(rows, table, current=F.col("attempts")).select("id", "message")
+
+
 # ---------------------------------------------------------------- requests
 
 REQUEST = "SELECT event_id, CASE event_type WHEN 'signup' THEN 'markdown, word,markdown' WHEN 'view' THEN 'pdf' WHEN 'error' THEN 'pdf,odt' WHEN 'purchase' THEN ' ,' ELSE 'word, pdf' END AS modes, CASE user_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'en-US' WHEN 2 THEN 'zh-CN' END AS locale, CASE user_id % 5 WHEN 0 THEN 'vl' WHEN 1 THEN 'magic' WHEN 2 THEN 'auto' END AS engine FROM events"
