@@ -126,7 +126,21 @@ def bitmap(s: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.packbits(out).view(np.int64)
 
 
-PREFIX = "doc_id long, n long, bits array<long>, prefix array<long>"
+def wide_bitmap(s: np.ndarray) -> bytes:
+    """The same with at least as many bits as shingles, a power of two of them, for sets that fill a small bitmap."""
+    bits = max(512, 1 << (len(s) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[mix(s) & U(bits - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two wide bitmaps differ, the longer one folded."""
+    a, b = (np.frombuffer(z, np.uint64) for z in ((x, y) if len(x) <= len(y) else (y, x)))
+    return int(np.bitwise_count(a ^ np.bitwise_or.reduce(b.reshape(-1, len(a)))).sum())
+
+
+PREFIX = "doc_id long, n long, bits array<long>, wide binary, prefix array<long>"
 
 
 def prefixes(size: int, percent: int, late):
@@ -142,13 +156,16 @@ def prefixes(size: int, percent: int, late):
                 at = np.searchsorted(hot, s)
                 is_hot = hot[np.minimum(at, len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
                 first = np.r_[s[~is_hot], s[is_hot]][: prefix_length(len(s), percent)]
-                for name, value in zip(out, (key, len(s), bitmap(s), first.view(np.int64)), strict=True):
+                for name, value in zip(out, (key, len(s), bitmap(s), wide_bitmap(s), first.view(np.int64)), strict=True):
                     out[name].append(value)
             yield common.batches(out, schema)
 
     return run
 
 
+LINKS = "a long, b long"
+
+
 def size_fits(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -167,8 +184,22 @@ def prune(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(size_fits(n, m, percent) & bound_fits(n, m, F.col("x"), F.col("y"), percent)).select("a", "b")
 
 
+def prune_wide(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b whose wide bitmaps allow the similarity."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = common.arrow_schema(LINKS)
+        for batch in it:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            kept = [(a, b) for a, b, n, m, x, y in rows if (n + m - bits_apart(x, y)) * (100 + percent) >= 2 * percent * (n + m)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in kept], pa.int64()) for c in (0, 1)], schema=schema)
+
+    x = held.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("x"))
+    y = held.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, LINKS)
+
+
 SHIPPED = "hub long, part int, role int, doc_id long, text binary"
-LINKS = "a long, b long"
 
 
 def ship(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,36 +271,48 @@ def place_fits(n: Column, at: Column, m: Column, to: Column, percent: int) -> Co
 TILES = "key long, side int, doc_id long, n long, pos int, component long, bits array<long>"
 
 
+def candidate_pairs(key: np.ndarray, side: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray, component: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key that may link, groups of equal size at once: of different components, and places, sizes and bitmaps allow it."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    for g in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(g, 1)
+        at = start[size == g]
+        some = max(1, 1_000_000 // len(i))
+        for k in range(0, len(at), some):
+            x, y = ((at[k : k + some, None] + z).ravel() for z in (i, j))
+            ok = (component[x] != component[y]) & ((side[x] == 0) & (side[y] == 0) | (side[x] != side[y]))
+            x, y = x[ok], y[ok]
+            total = n[x] + n[y]
+            ok = (np.minimum(n[x] - pos[x], n[y] - pos[y]) * (100 + percent) >= percent * total) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+            x, y, total = x[ok], y[ok], total[ok]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            ok = (total - apart) * (100 + percent) >= 2 * percent * total
+            pair = np.unique(np.stack([np.minimum(doc[x[ok]], doc[y[ok]]), np.maximum(doc[x[ok]], doc[y[ok]])]), axis=1)
+            yield pair[0], pair[1]
+
+
 def compare_tiles(percent: int):
-    """Rows sorted by tile pair: pairs of different components whose sizes and bitmaps allow the similarity. side 0 meets itself and side 1 and 2; 1 meets 2 only."""
+    """Rows sorted by tile pair: those that may link. side 0 meets itself and sides 1 and 2; 1 meets 2 only."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = common.arrow_schema(LINKS)
-        rows: list[tuple] = []
-
-        def pairs() -> pa.RecordBatch:
-            side, doc, n, pos, comp = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4, 5))
-            bits = np.array([r[6] for r in rows], np.int64).view(np.uint64)
-            left, right = [], []
-            for i in range(len(rows)):
-                ok = (comp != comp[i]) & (doc > doc[i]) & ((side == 0) & (side[i] == 0) | (side != side[i]))
-                ok &= np.minimum(n - pos, n[i] - pos[i]) * (100 + percent) >= percent * (n + n[i])
-                at = np.flatnonzero(ok & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
-                if len(at):
-                    apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    at = at[(n[at] + n[i] - apart) * (100 + percent) >= 2 * percent * (n[at] + n[i])]
-                    left.append(np.full(len(at), doc[i]))
-                    right.append(doc[at])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (left, right)], schema=schema)
+        rest: list[np.ndarray] = []
+
+        def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for x, y in candidate_pairs(*rows, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=schema)
 
         for batch in it:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and rows[-1][0] != row[0]:
-                    yield pairs()
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield pairs()
+            bits = batch.column(6).flatten().to_numpy().reshape(-1, WORDS).view(np.uint64)
+            rows = [*(batch.column(k).to_numpy().astype(np.int64) for k in range(6)), bits]
+            if rest:
+                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+            last = int(np.max(np.flatnonzero(rows[0] != rows[0][-1]), initial=-1)) + 1
+            yield from pairs([x[:last] for x in rows])
+            rest = [x[last:] for x in rows]
+        if rest:
+            yield from pairs(rest)
 
     return run
 
@@ -322,13 +365,13 @@ def join(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col
     common.let_go(spark)
     may_be_first = place_fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent)
     stars = members.where((F.col("doc_id") != F.col("hub.doc_id")) & may_be_first).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = verify(prune(stars, held, percent), rows, size, percent)
+    links = verify(prune_wide(prune(stars, held, percent), held, percent), rows, size, percent)
     first = components(links, "a", "b")
     placed = members.join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
     left = placed.where("members > 2").join(split, "token", "left_semi").join(held.select("doc_id", "bits"), "doc_id")
     keyed = tiled(left, percent).repartition(common.cores(spark), "key").sortWithinPartitions("key")
-    more = verify(keyed.mapInArrow(compare_tiles(percent), LINKS).distinct(), rows, size, percent)
+    more = verify(prune_wide(keyed.mapInArrow(compare_tiles(percent), LINKS).distinct(), held, percent), rows, size, percent)
     linked = components(links.unionByName(more), "a", "b")
     of_class = classes.join(linked.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = sums.join(of_class, ["d1", "d2"], "left")

@@ -29,13 +29,12 @@ TEMPLATES = {
 
 
 def normal_words(text: str) -> list[str]:
-    return re.sub(r"[^a-z0-9]+", " ", "".join(c.lower() if c.isascii() else " " for c in text)).split()
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
 
 
 def normalised(text: Column) -> Column:
-    """A-Z in lower case, each run of other characters than a-z and 0-9 one blank, blanks around."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " ")), F.lit(" "))
+    """Lower case, each run of other characters than a-z and 0-9 one blank, blanks around."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
 def needed(size: int, dice: float) -> int:
