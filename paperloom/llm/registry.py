@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, common, decontaminate, jaccard, licenses, packing, quality, sharding, suffix, tokens, topk
+from . import chunks, common, decontaminate, jaccard, licenses, oracle, packing, quality, sharding, suffix, tokens, topk
 
 
 def tokenizer_path(name: str) -> str:
@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
