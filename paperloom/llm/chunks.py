@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from . import common, suffix
 
 #: A cut falls where this many leading bits of the rolling hash are zero; chunks hold LEAST to MOST bytes.
-BITS, LEAST, MOST = 6, 24, 512
+BITS, LEAST, MOST = 5, 16, 256
+#: Bytes of neighbouring repeated chunks that go together; shorter runs are chance and stay.
+RUN = 100
 SEED = 11
 HELD = 500_000
 
@@ -52,7 +54,7 @@ CHUNK, SPAN = 0, 1
 
 
 def find_chunks(bits: int, least: int, most: int):
-    """The first of equal chunks in a task goes on, by digest; the others are spans that go. A row of kind SPAN with n = at + 0 is not sent."""
+    """The first of equal chunks in a task goes on, by digest; the others are spans that go."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
@@ -106,12 +108,12 @@ def repeated_chunks(docs: DataFrame, *, bits: int = BITS, least: int = LEAST, mo
     return marked.where(gone).select("doc_id", F.col("at").alias("start"), F.when(F.col("kind") == SPAN, F.col("n")).otherwise(F.col("at") + F.col("n")).alias("stop"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes of first chunks) of each document.
+def dedup(docs: DataFrame, *, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept of each document: repeated chunks go where neighbouring ones make up ``run`` bytes or more, or the whole text.
 
     Null and empty texts have no chunks and stay. Rows without an id are left out; of rows that repeat an id the one with the smallest text
     (null first) stays. Empty tables give an empty result; extra columns are not read.
     """
     rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
     by_doc = repeated_chunks(rows, **how).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(suffix.keep_rest, suffix.KEPT)
+    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(suffix.keep_rest(run), suffix.KEPT)

@@ -14,23 +14,24 @@ def _to_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every id has one smaller neighbour or only larger ones."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").limit(1).count()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """id and component (the smallest id reachable) of every id that has a link.
 
     Alternating large and small stars: every id hands its larger neighbours, then its smaller ones, to the least of them, until
-    all edges point at the least of their component. The rounds grow with the logarithm of the longest chain, and each is written out.
+    each edge points at the least id of its component. The rounds grow with the logarithm of the longest chain, and each is written out.
     """
     edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v").distinct()
     edges = common.table(edges, "edges")
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _to_least(large)
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         edges = common.table(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

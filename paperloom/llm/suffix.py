@@ -430,23 +430,27 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, h
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def keep_rest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = common.arrow_schema(KEPT)
-    for batch in it:
-        out: dict[str, list] = {f.name: [] for f in schema}
-        for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            text, spans = text or b"", sorted((s["start"], s["stop"]) for s in spans or ())
-            kept, end, runs = [], 0, 0
-            for a, b in spans:
-                if a > end or not runs:
-                    kept.append(text[end:a])
-                    runs += 1
-                end = max(end, b)
-            kept.append(text[end:])
-            left = b"".join(kept)
-            for name, value in zip(out, (key, len(text), len(text) - len(left), runs, left), strict=True):
-                out[name].append(value)
-        yield common.batches(out, schema)
+def keep_rest(least: int = 1):
+    """Bytes outside the spans. Spans that meet are one run; runs shorter than ``least`` stay, unless they are the whole text."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = common.arrow_schema(KEPT)
+        for batch in it:
+            out: dict[str, list] = {f.name: [] for f in schema}
+            for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text, runs = text or b"", []
+                for a, b in sorted((s["start"], s["stop"]) for s in spans or ()):
+                    if runs and a <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], b)
+                    else:
+                        runs.append([a, b])
+                runs = [r for r in runs if r[1] - r[0] >= min(least, len(text))]
+                left = b"".join(text[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(text)], strict=True))
+                for name, value in zip(out, (key, len(text), len(text) - len(left), len(runs), left), strict=True):
+                    out[name].append(value)
+            yield common.batches(out, schema)
+
+    return run
 
 
 def dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -458,7 +462,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text
     rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
     spans = repeated_spans(docs, length=length, id_col=id_col, text_col=text_col, **how)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(keep_rest, KEPT)
+    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(keep_rest(), KEPT)
 
 
 @F.pandas_udf(T.StringType())

@@ -85,20 +85,24 @@ def test_suffix_array_and_common_prefixes():
             assert suffix.common_prefixes(order, w).tolist() == [common(x, y) for x, y in zip(cut, cut[1:])]  # noqa: B905
 
 
-def test_chunks_cover_texts_and_only_repeats_go(spark):
+@pytest.mark.parametrize("run", [1, 100])
+def test_chunks_cover_texts_and_only_repeats_go(spark, run):
     texts = corpus(3)
     first, expected = set(), {}
     for d, t in enumerate(texts):
-        b, a, kept = (t or "").encode(), 0, b""
+        b, a, gone = (t or "").encode(), 0, bytearray(len((t or "").encode()))
         ends = chunks.cuts(np.frombuffer(b, np.uint8)) if b else []
         assert (ends[-1] if ends else 0) == len(b) and ends == sorted(set(ends))
         for e in ends:
-            if b[a:e] not in first:
-                first.add(b[a:e])
-                kept += b[a:e]
+            if b[a:e] in first:
+                gone[a:e] = b"\1" * (e - a)
+            first.add(b[a:e])
             a = e
-        expected[d] = (len(b), kept)
-    assert {r["doc_id"]: (r["n_bytes"], bytes(r["kept"])) for r in chunks.dedup(frame(spark, texts)).collect()} == expected
+        for m in list(re.finditer(b"\1+", bytes(gone))):
+            if len(m[0]) < min(run, len(b)):
+                gone[m.start() : m.end()] = b"\0" * len(m[0])
+        expected[d] = (len(b), bytes(x for x, g in zip(b, gone, strict=True) if not g))
+    assert {r["doc_id"]: (r["n_bytes"], bytes(r["kept"])) for r in chunks.dedup(frame(spark, texts), run=run).collect()} == expected
 
 
 def test_chunks_resist_insertions():
@@ -110,7 +114,7 @@ def test_chunks_resist_insertions():
         return {b[a:e] for a, e in zip([0, *ends[:-1]], ends, strict=True)}
 
     a, b = parts(text), parts(text[:9000] + b"!" + text[9000:])
-    assert len(a - b) <= 4
+    assert len(a - b) <= 6
 
 
 def shingles(text):
