@@ -201,7 +201,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, reject: float = REJECT, id_c
     hosts = hosts.select("h", ((F.col("bad") + k_host * rate) / (F.col("n") + k_host)).alias("host_rate"))
     paths = paths.join(hosts, "h")
     k_path = weight(paths, F.col("host_rate")) if total else 10.0
-    out = scored.join(paths.select("h", "hp", "n", "bad", "host_rate"), ["h", "hp"])
+    # Written out, so that both sides of the join are dealt for it alone and a site with many documents can be split.
+    paths = common.table(paths.select("h", "hp", "n", "bad", "host_rate"), "paths")
+    out = scored.join(paths, ["h", "hp"])
     others = (F.col("bad") - F.col("p") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path)
     out = out.withColumn("path_rate", F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), others)))
     shift = logit(F.col("path_rate")) - F.lit(math.log(rate / (1 - rate)))
