@@ -22,14 +22,20 @@ SHINGLE, OVERLAP = 5, 0.8
 BLOCK, ITEMS = 8, 2_000
 #: Passages whose bounds are held at once.
 STRIDE = 256
-WORD = re.compile(r"[^\W_]+")
+#: Marks beyond ASCII, which part words as ASCII marks and blanks do.
+MARKS = re.compile("[\xa0-\xbf\u1680\u2000-\u206f\u3000-\u303f]+")
+FOLD = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
-def split_words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def split_words(text: str) -> list[bytes]:
+    """Words in lower case: runs of letters and digits, as UTF-8."""
+    text = text.lower()
+    if not text.isascii():
+        text = MARKS.sub(" ", text)
+    return text.encode().translate(FOLD).split()
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
+def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     """An item's words in two: the last sentence of several is the answer; of a single sentence the last fifth of its words."""
     parts = [w for s in re.split(r"(?<=[.!?])\s+", text.strip()) if (w := split_words(s))]
     if len(parts) > 1:
@@ -39,7 +45,7 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
-def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
+def shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else ({tuple(words)} if words else set())
 
 
@@ -55,7 +61,7 @@ class Index:
         self.parts = [question_and_answer(texts[i]) for i in order]
         self.longest = max(map(len, self.words), default=0)
         n, mean = len(order), sum(map(len, self.words)) / max(1, len(order))
-        postings: dict[str, list[tuple[int, float]]] = {}
+        postings: dict[bytes, list[tuple[int, float]]] = {}
         for i, w in enumerate(self.words):
             for t in set(w):
                 tf = w.count(t)
@@ -100,7 +106,7 @@ class Index:
             return cut, first
         return cut[:-1], first[:-1] + second[1:]
 
-    def above(self, words: list[str], threshold: float) -> list[tuple[int, int, float]]:
+    def above(self, words: list[bytes], threshold: float) -> list[tuple[int, int, float]]:
         """First word of the passage, item and score of every passage and item that reach the threshold. Only blocks whose bound reaches it are scored."""
         if not words or not self.blocks:
             return []
@@ -118,7 +124,7 @@ class Index:
                 out += [(a, int(b) * self.block + int(i), float(found[i])) for i in np.flatnonzero(found >= threshold)]
         return out
 
-    def overlap(self, item: int, words: list[str]) -> tuple[float, float]:
+    def overlap(self, item: int, words: list[bytes]) -> tuple[float, float]:
         """Parts of the question's and of the answer's word shingles that the words hold; 1 for a part without words."""
         out = []
         for part in self.parts[item]:
