@@ -17,9 +17,11 @@ SHINGLE = 5
 #: Least Jaccard similarity, in hundredths.
 PERCENT = 80
 #: 64-bit words of a bitmap signature.
-WORDS = 8
+WORDS = 16
 #: Rows of a tile; members that are compared with one hub in a task.
 TILE, CHUNK = 512, 512
+#: Candidate pairs that a task holds to send each once.
+HELD_PAIRS = 1_000_000
 #: A shingle in over this part of the documents comes last in the order that prefixes follow.
 COMMON = 1e-3
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -299,9 +301,12 @@ def compare_tiles(percent: int):
         schema = common.arrow_schema(LINKS)
         rest: list[np.ndarray] = []
 
-        def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for x, y in candidate_pairs(*rows, percent):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=schema)
+        found: list[np.ndarray] = []
+        size = 0
+
+        def send() -> pa.RecordBatch:
+            x, y = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=schema)
 
         for batch in it:
             bits = batch.column(6).flatten().to_numpy().reshape(-1, WORDS).view(np.uint64)
@@ -309,10 +314,16 @@ def compare_tiles(percent: int):
             if rest:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             last = int(np.max(np.flatnonzero(rows[0] != rows[0][-1]), initial=-1)) + 1
-            yield from pairs([x[:last] for x in rows])
+            for pair in candidate_pairs(*(x[:last] for x in rows), percent):
+                found.append(np.stack(pair))
+                size += found[-1].shape[1]
+                if size > HELD_PAIRS:  # a pair comes up once for each shingle that it shares: most are seen again in the task
+                    yield send()
+                    found, size = [], 0
             rest = [x[last:] for x in rows]
         if rest:
-            yield from pairs(rest)
+            found += [np.stack(pair) for pair in candidate_pairs(*rest, percent)]
+        yield send()
 
     return run
 
