@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,16 +60,105 @@ def index(templates: dict[str, str], dice: float) -> list[tuple[str, int, int, s
     return out
 
 
-def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def probes_of(templates: dict[str, str], dice: float) -> list[tuple[str, list[str], int, int, list[str]]]:
+    """name, its different bigrams, those a stretch must share, the most that a stretch may have, and the probe bigrams: a stretch of any length that reaches the coefficient holds one."""
+    sets = {k: list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))) for k, t in templates.items() if len(w := normal_words(t)) > 1}
+    used = Counter(b for s in sets.values() for b in s)
+    out = []
+    for name, s in sets.items():
+        size = len(s)
+        share = next((n for n in range(1, size + 1) if 2.0 * n / (n + size) >= dice), None)
+        if share is None:
+            continue
+        most = size
+        while 2.0 * size / (most + 1 + size) >= dice:
+            most += 1
+        out.append((name, sorted(s), share, most, sorted(s, key=lambda b: (used[b], -len(b)))[: size - share + 1]))
+    return out
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def stretches(dice: float) -> Column:
+    """All stretches of ``pairs`` that reach ``dice`` and lose by every word less: (-dice, words, from, to, shared), best, shortest and earliest first.
+
+    Such a stretch starts and ends at a bigram of the template that it holds once. From each such start the different bigrams in order of
+    their first places give size and shared bigrams of every end; the start's own bigram met again ends the search. A search looks at
+    twice the most bigrams first, and at the rest of the text only where too many of these repeat.
+    """
+
+    def from_start(a: Column) -> Column:
+        def until_again(n: Column) -> Column:
+            def cut(s: Column) -> Column:
+                again = F.array_position(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.element_at(s, 1)).cast("int")
+                return let(again, lambda p: F.slice(s, F.lit(1), F.when(p > 0, p).otherwise(F.size(s))))
+
+            return let(F.slice("pairs", a, n), cut)
+
+        def ends(s: Column) -> Column:
+            def shared_at(d: Column) -> Column:
+                at = F.filter(F.sequence(F.lit(1), F.least(F.size(d), F.col("most"))), lambda k: F.array_contains("t_grams", F.element_at(d, k)))
+
+                def found(held: Column) -> Column:
+                    every = F.transform(held, lambda k, j: F.struct((-2.0 * (j + 1) / (k + F.col("t_size"))).alias("back"), k.alias("k"), (j + 1).alias("shared")))
+                    reach = F.filter(F.when(F.size(held) >= F.col("share"), every).otherwise(F.slice(every, 1, 0)), lambda x: x["back"] <= -dice)
+                    to = lambda x: (a + F.array_position(s, F.element_at(d, x["k"]))).cast("int")
+                    return F.transform(reach, lambda x: let(to(x), lambda t: F.struct(x["back"].alias("back"), (t - a + 1).alias("n"), (a - 1).alias("from"), t.alias("to"), x["shared"].alias("shared"))))
+
+                return let(at, found)
+
+            return let(F.array_distinct(s), shared_at)
+
+        first, left = 2 * F.col("most"), F.size("pairs") - a + 1
+        near = let(until_again(F.least(first, left)), lambda s: F.when((F.size(s) < F.least(first, left)) | (left <= first) | (F.size(F.array_distinct(s)) >= F.col("most")), s).otherwise(until_again(left)))
+        return let(near, ends)
+
+    return F.array_sort(F.flatten(F.transform("starts", from_start)))
+
+
+def scan_every_length(docs: DataFrame, templates: dict[str, str], dice: float, id_col: str, text_col: str) -> DataFrame:
+    """``scan`` over stretches of every length."""
+    spark: SparkSession = docs.sparkSession
+    probes = probes_of(templates, dice)
+    table = spark.createDataFrame([(n, len(g), share, most, g, p) for n, g, share, most, p in probes], "license string, t_size int, share int, most int, t_grams array<string>, probes array<string>")
+    rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
+    # A generator of one row keeps the optimiser from repeating the expression wherever its result is used.
+    rows = rows.select("doc_id", F.explode(F.array(normalised(F.col("text")))).alias("norm"))
+    some = F.lit(False)
+    for b in sorted({b for p in probes for b in p[4]}):
+        some = some | F.contains("norm", F.lit(f" {b} "))
+    rows = rows.where(some).select("doc_id", F.explode(F.array(F.split(F.trim("norm"), " "))).alias("words"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
+    rows = rows.where(F.size("words") > 1).select("doc_id", F.explode(F.array(pairs)).alias("pairs"))
+    met = rows.join(F.broadcast(table), F.arrays_overlap("pairs", "probes"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("pairs")), lambda i: F.array_contains("t_grams", F.element_at("pairs", i)))
+    met = met.select("doc_id", "license", "t_size", "share", "most", "t_grams", "pairs", F.explode(F.array(starts)).alias("starts")).where(F.size("starts") >= F.col("share"))
+    found = met.select("doc_id", "license", F.explode(F.array(stretches(dice))).alias("found"))
+    apart = lambda kept, x: F.forall(kept, lambda y: (x["from"] >= y["to"]) | (y["from"] >= x["to"]))
+    best = F.aggregate("found", F.slice("found", 1, 0), lambda kept, x: F.when(apart(kept, x), F.array_append(kept, x)).otherwise(kept))
+    return found.select("doc_id", "license", F.explode(best).alias("x")).select("doc_id", "license", F.col("x.from").alias("start_word"), F.col("x.n").alias("n_words"), "x.shared", (-F.col("x.back")).alias("dice"))
+
+
+def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, dice: float = DICE, every_length: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, start_word, n_words, shared, dice: stretches of a document's normalised words that match a template.
 
     A document's words are laid along a template wherever both have one of the template's probe bigrams; the stretch under the template
     is compared by 2 * shared / (bigrams of both), different bigrams counted once. Size bounds prune a stretch that the document's
     ends cut too short to reach ``dice``. Of overlapping stretches for one template the best stays (the earliest of equals).
 
+    With ``every_length`` (as the query has it) stretches of every length that can reach ``dice`` are compared, from 0.67 to 1.5 times the
+    template's different bigrams at 0.8, so words put in or left out anywhere do not hide a notice; of stretches that share words the best
+    stays (the shortest, then the earliest of equals), and what does not overlap it is judged by itself. Without it, only stretches of the
+    template's number of words are.
+
     The template index is a fixed table. Documents without any probe bigram end at a substring test. Null and empty texts
     match nothing; rows without an id are left out; of rows that repeat an id the one with the smallest text (null first) stays. Extra columns are not read.
     """
+    if every_length:
+        return scan_every_length(docs, templates if templates is not None else TEMPLATES, dice, id_col, text_col)
     spark: SparkSession = docs.sparkSession
     probes = index(templates if templates is not None else TEMPLATES, dice)
     words_of = {name: normal_words(t) for name, t in (templates if templates is not None else TEMPLATES).items()}

@@ -33,7 +33,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(common.documents(spark, sf_dir))
+    return licenses.scan(common.documents(spark, sf_dir), every_length=True)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,51 @@ def test_license_scan_is_brute_force(spark):
     assert {k: sorted(v) for k, v in got.items()} == {i: h for i, t in enumerate(texts) if (h := brute_licenses(t))}
 
 
+def brute_stretches(text, dice=licenses.DICE):
+    """All stretches of all lengths, the best first (then the shortest, then the earliest); what overlaps a better one goes."""
+    words, out = licenses.normal_words(text or ""), []
+    for name, template in licenses.TEMPLATES.items():
+        t = licenses.normal_words(template)
+        grams, hits = set(zip(t, t[1:], strict=False)), []
+        for a in range(len(words)):
+            own = set()
+            for b in range(a + 2, len(words) + 1):
+                own.add((words[b - 2], words[b - 1]))
+                if (d := 2 * len(own & grams) / (len(own) + len(grams))) >= dice:
+                    hits.append((-d, b - a, a))
+        kept = []
+        for d, n, a in sorted(hits):
+            if all(a >= y + m or y >= a + n for y, m in kept):
+                kept.append((a, n))
+                out.append((name, a, n, round(-d, 9)))
+    return sorted(out)
+
+
+def test_license_scan_of_every_length_is_brute_force(spark):
+    gpl = "This work is licensed under the terms of the GNU General Public License, version 3"
+    r, texts = random.Random(7), [None, "", "mit", "mit license " * 30, f"It says: {gpl}, as it stands.", f"{gpl}. {gpl}; some words. {licenses.TEMPLATES['GPL-3.0-line']}"]
+    w = licenses.TEMPLATES["BSD-2-Clause"].split()
+    texts.append("start " + " ".join([*w[:10], "which", "we", "did", "not", "want", "here", *w[10:]]) + " end")
+    w = licenses.TEMPLATES["Apache-2.0-line"].split()
+    texts.append(" ".join([*w[:3], *["foo"] * 200, *w[3:]]))
+    for t in licenses.TEMPLATES.values():
+        w = t.split()
+        texts += [t, f"{t} {t}", f"{t} and {' '.join(w[1:])}", " ".join(w[: len(w) * 3 // 4])]
+        for k in (1, 2, 5):
+            x = w.copy()
+            for _ in range(k):
+                at = r.randrange(len(x))
+                x[at : at + r.randint(0, 1)] = r.sample(["of", "the", "oddly", "license", "to"], r.randint(0, 2))
+            texts.append("words before it " + " ".join(x) + " and after it " + " ".join(w[r.randint(0, 3) :]))
+    got = defaultdict(list)
+    for x in licenses.scan(frame(spark, texts), every_length=True).collect():
+        got[x["doc_id"]].append((x["license"], x["start_word"], x["n_words"], round(x["dice"], 9)))
+    want = {i: h for i, t in enumerate(texts) if (h := brute_stretches(t))}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert [x[0] for x in want[4]] == ["GPL-3.0-line"] and not brute_licenses(texts[4])
+    assert [x[0] for x in want[6]] == ["BSD-2-Clause"] and not brute_licenses(texts[6])
+
+
 # ---------------------------------------------------------------- 5
 
 
