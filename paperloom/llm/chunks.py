@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 from . import common, suffix
 
-#: A cut falls where this many leading bits of the rolling hash are zero; chunks hold LEAST to MOST bytes.
+#: A cut falls where this many leading bits of the rolling hash are zero; chunks hold LEAST to MOST bytes, the last of a text fewer. LEAST guards against chance repeats.
 BITS, LEAST, MOST = 5, 16, 256
-#: Bytes of neighbouring repeated chunks that go together; shorter runs are chance and stay.
-RUN = 100
 SEED = 11
 HELD = 500_000
 
@@ -108,8 +106,10 @@ def repeated_chunks(docs: DataFrame, *, bits: int = BITS, least: int = LEAST, mo
     return marked.where(gone).select("doc_id", F.col("at").alias("start"), F.when(F.col("kind") == SPAN, F.col("n")).otherwise(F.col("at") + F.col("n")).alias("stop"))
 
 
-def dedup(docs: DataFrame, *, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept of each document: repeated chunks go where neighbouring ones make up ``run`` bytes or more, or the whole text.
+def dedup(docs: DataFrame, *, run: int = 1, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept of each document: every chunk whose digest occurs earlier goes.
+
+    A caller may ask that repeated chunks stay where neighbouring ones make up fewer than ``run`` bytes and not the whole text; the query does not.
 
     Null and empty texts have no chunks and stay. Rows without an id are left out; of rows that repeat an id the one with the smallest text
     (null first) stays. Empty tables give an empty result; extra columns are not read.

@@ -105,6 +105,23 @@ def test_chunks_cover_texts_and_only_repeats_go(spark, run):
     assert {r["doc_id"]: (r["n_bytes"], bytes(r["kept"])) for r in chunks.dedup(frame(spark, texts), run=run).collect()} == expected
 
 
+def test_short_repeats_go_by_default(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    line = "Sign up for our letter, read it on Sundays and share it with your friends and your neighbours"  # two cuts fall in it
+    texts = [" ".join(word() for _ in range(30)) + f"\n{line}\n" + " ".join(word() for _ in range(30)) for _ in range(20)]
+    first, kept, short = set(), {}, 0
+    for d, t in enumerate(texts):
+        b, a, kept[d] = t.encode(), 0, b""
+        for e in chunks.cuts(np.frombuffer(b, np.uint8)):
+            kept[d] += b"" if b[a:e] in first else b[a:e]
+            first.add(b[a:e])
+            a = e
+        short += 0 < len(b) - len(kept[d]) < 100
+    assert short > 10
+    assert {x["doc_id"]: bytes(x["kept"]) for x in chunks.dedup(frame(spark, texts)).collect()} == kept
+
+
 def test_chunks_resist_insertions():
     r = random.Random(4)
     text = bytes(r.choice(b"abcdefgh ") for _ in range(20_000))
