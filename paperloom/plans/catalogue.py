@@ -430,7 +430,7 @@ def verbatim_currency(spark, sf_dir):
 
 @query(r"""SELECT doc_id, CASE WHEN n = '' THEN 'download' ELSE n END AS name FROM (SELECT doc_id, CASE WHEN length(n) > 200 THEN regexp_replace(substr(n, 1, 200), '[\s._]+$', '') ELSE n END AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(substr(text, 1, 300), '[\x00-\x1f\x7f]', '', 'g'), '"', ''''), '[\\/]', '_', 'g'), '[_\s]+', '_', 'g'), '^[\s._]+|[\s._]+$', '', 'g') AS n FROM documents))""")
 def download_names(spark, sf_dir):
-    return fixtures.read(spark, sf_dir, "documents").select("doc_id", X.download_name(F.substring("text", 1, 300)).alias("name"))
+    return fixtures.read(spark, sf_dir, "documents").select("doc_id", X.download_name(F.col("text")).alias("name"))
 
 
 @query("SELECT doc_id, CASE WHEN b < 1024 THEN concat(b, ' B') WHEN b < 1048576 THEN concat(printf('%.1f', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10), ' KB') ELSE concat(printf('%.1f', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10), ' MB') END AS label FROM (SELECT doc_id, n_chars * 37 AS b FROM documents)")

@@ -37,3 +37,10 @@ def test_query(spark, duck, name):
         columns = [c[0] for c in cur.description]
         assert sorted(columns) == sorted(df.columns)
         assert got == rows(columns, cur.fetchall())
+
+
+def test_download_names_read_whole_texts(spark, tmp_path):
+    rows = [(1, " " * 300 + "report.pdf", "en", "s", 310), (2, "\x01" * 350 + "a" * 250, "en", "s", 600), (3, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["name"] for r in catalogue.QUERIES["download_names"](spark, str(tmp_path)).collect()}
+    assert got == {1: "report.pdf", 2: "a" * 200, 3: None}
