@@ -70,6 +70,11 @@ def cores(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def texts(column: pa.Array) -> list[str]:
+    """Strings of an Arrow column; null is empty, and bytes that are not UTF-8 read as U+FFFD."""
+    return [b.decode("utf-8", "replace") if b else "" for b in column.cast(pa.binary()).to_pylist()]
+
+
 def batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 

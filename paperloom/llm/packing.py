@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,90 +19,86 @@ from . import common
 WINDOW = 4096
 #: Lengths are told apart in steps of so many tokens.
 STEP = 16
-#: Pieces in a combination that the solver may use.
+#: Lengths in a combination that the solver may use.
 DEPTH = 3
 END_ID = 2
-#: Encoded words that a worker keeps; when full, it starts anew.
-CACHE_WORDS = 800_000
-#: Characters whose words are looked up together.
-GROUP_CHARS = 2_000_000
+#: Pieces of up to SHORT tokens are counted by their exact length and bundled, pieces of one length to at most BUNDLE tokens.
+SHORT, BUNDLE = 128, 512
+#: Pieces that are ranked in one task.
+RANKED = 200_000
+#: Characters that are encoded together.
+GROUP_CHARS = 1_000_000
+
+# The tokenizer file's word end and split rules, for the characters of PLAIN.
+WORD_END = "</w>"
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: ASCII and Latin letters: what the tokenizer does to them is to fold case and to split by kind.
+PLAIN = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]*")
+BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+BLANK, LETTER, DIGIT, MARK = range(4)
+KINDS = np.array([BLANK if b == 32 else LETTER if b >= 128 or chr(b).isalpha() else DIGIT if chr(b).isdigit() else MARK for b in range(256)], np.uint8)
+#: Ends a text among several; no plain text holds it.
+STOP = "\x01"
 
 
 class WordEncoder:
-    """Ids of texts under a tokenizer whose pre-tokenizer drops white space, exactly as ``tokenizers`` gives them.
+    """Ids of texts under a byte-pair tokenizer whose words end in a mark, exactly as ``tokenizers`` gives them.
 
-    No token spans a blank or a line feed, so a text's ids are those of its blank-separated words, and each
-    different word is encoded once. Words of ASCII and Latin letters go through the steps that the tokenizer file states (lower case, split, byte
-    alphabet) and to the model directly; any other word goes through the whole tokenizer.
+    No token spans a blank, so a text's ids are those of its blank-separated words. A plain text is folded, parted where the
+    tokenizer's pattern parts it, by kinds of bytes, and each word is followed by one blank, which stands for the word end.
+    Pairs merge in the order of the file's merges, and a pair's place there is its token's id, so the same vocabulary with blanks for
+    word ends gives the same ids in ``tiktoken``. A word with any other character goes through the tokenizer itself.
+    Nothing is kept from text to text.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        # The file's split pattern, for the letters, digits and marks that `plain` lets through.
-        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[!-/:-@\[-`{-~\xd7\xf7]+| ")
-        self.plain = re.compile("[ -~\xc0-\u012f\u0131-\u024f]*")
+        self.path, self.whole = path, None
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
         # The byte alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
         kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in set(kept)]
-        self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.reset()
-
-    def reset(self) -> None:
-        self.words: dict[str, int] = {"": 0}
-        self.parts: dict[str, list[int]] = {}
-        self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def part(self, token: str) -> list[int]:
-        text = token if token.isascii() else "".join(map(self.alphabet.__getitem__, token.encode()))
-        return [x.id for x in self.model.tokenize(text)]
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each of the words, none of which holds a blank."""
-        joined = " ".join(words)
-        if "<|" in joined or not self.plain.fullmatch(joined):
-            if len(words) == 1:
-                return [self.whole.encode(words[0], add_special_tokens=False).ids]
-            odd = {w for w in words if "<|" in w or not self.plain.fullmatch(w)}
-            plain = iter(self.encode_words(usual) if (usual := [w for w in words if w not in odd]) else [])
-            return [self.encode_words([w])[0] if w in odd else next(plain) for w in words]
-        tokens = self.split.findall(joined.lower())
-        parts = self.parts
-        for t in set(tokens) - parts.keys():
-            parts[t] = self.part(t) if t != " " else []
-        out, row = [], []
-        for t in tokens:
-            if t == " ":
-                out.append(row)
-                row = []
-            else:
-                row += parts[t]
-        out.append(row)
-        return out
-
-    def learn(self, new: list[str]) -> None:
-        ids = self.encode_words(new)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = len(self.flat) + np.cumsum(size) - size
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-        self.start, self.size = np.r_[self.start, start], np.r_[self.size, size]
-        self.flat = np.r_[self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))]
+        byte_of = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(kept))}
+        ranks = {bytes(byte_of[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END): i for t, i in vocabulary.items()}
+        self.words = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={STOP * 3: max(ranks.values()) + 1})
+        self.stop = ranks[STOP.encode() + b" "]
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        data = np.frombuffer(f" {STOP} ".join([*texts, ""]).lower().encode().translate(BLANKS), np.uint8)
+        kind = KINDS[data]
+        edge = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        for at in np.flatnonzero(data[:-1] == ord("'")).tolist():  # a contraction is one word where a word may begin
+            if at == 0 or kind[at - 1] != MARK:
+                for c in CONTRACTIONS:
+                    if data[at : at + len(c)].tobytes() == c.encode():
+                        edge[at] = False
+                        end = at + len(c)
+                        edge[end - 1] |= kind[end] == LETTER
+        edge &= (kind[1:] != BLANK) & (kind[:-1] != BLANK)
+        spaced = np.insert(data, np.flatnonzero(edge) + 1, 32).tobytes().decode()
+        ids = self.words.encode_to_numpy(spaced, disallowed_special=())
+        stops = np.flatnonzero(ids == self.stop)
+        return [ids[a:b] for a, b in zip(np.r_[0, stops + 1][: len(texts)].tolist(), stops.tolist(), strict=True)]
+
+    def other(self, text: str) -> np.ndarray:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHE_WORDS or len(self.flat) > 8 * CACHE_WORDS:
-            self.reset()
-        if new := list(set().union(*lists) - self.words.keys()):
-            self.learn(new)
-        out = []
-        for words in lists:
-            at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            size = self.size[at]
-            ends = np.cumsum(size)
-            out.append(self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])])
-        return out
+        parts: list[list[tuple[bool, str]]] = []
+        for t in texts:
+            if "<|" not in t and PLAIN.fullmatch(t):
+                parts.append([(True, t)])
+                continue
+            words = re.split("[\t-\r ]", t)
+            parts.append([(ok, " ".join(g)) for ok, g in itertools.groupby(words, lambda w: "<|" not in w and PLAIN.fullmatch(w) is not None)])
+        plain = iter(self.plain([s for p in parts for ok, s in p if ok]))
+        found = [[next(plain) if ok else self.other(s) for ok, s in p] for p in parts]
+        return [f[0] if len(f) == 1 else np.concatenate(f) for f in found]
 
 
 def in_groups(items: list[str], size: int) -> Iterator[list[str]]:
@@ -118,7 +115,7 @@ def in_groups(items: list[str], size: int) -> Iterator[list[str]]:
         yield group
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
@@ -132,8 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int
         enc = encoder(tokenizer)
         for batch in it:
             out: dict[str, list] = {f.name: [] for f in schema}
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            encoded = (x for group in in_groups(texts, GROUP_CHARS) for x in enc.encode_all(group))
+            encoded = (x for group in in_groups(common.texts(batch.column(1)), GROUP_CHARS) for x in enc.encode_all(group))
             for key, got in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 got = np.append(got, np.uint32(end_id)).astype("<u4")
                 for a in range(0, len(got), window):
@@ -146,18 +142,27 @@ def pieces(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
 
 
-def combinations(bins: int, depth: int) -> np.ndarray:
-    """All multisets of at most depth lengths 1..bins with sum bins, as rows of counts by length."""
-    found = []
+def combinations(bins: int, depth: int = DEPTH, held: np.ndarray | None = None) -> np.ndarray:
+    """Shallow fillings of a window, as rows of counts by length: all multisets of at most ``depth`` lengths with sum bins, and all repeats of
+    one or two lengths with that sum, so that a window of short pieces has fillings too. ``held``: whether a length occurs."""
+    there = [i for i in range(1, bins + 1) if held is None or held[i - 1]]
+    known = set(there)
+    found: set[tuple[tuple[int, int], ...]] = set()
     for k in range(1, depth + 1):
-        for head in itertools.combinations_with_replacement(range(1, bins + 1), k - 1):
+        for head in itertools.combinations_with_replacement(there, k - 1):
             last = bins - sum(head)
-            if last >= (head[-1] if head else 1):
-                found.append((*head, last))
+            if last >= (head[-1] if head else 1) and last in known:
+                found.add(tuple(sorted((x, (*head, last).count(x)) for x in {*head, last})))
+    for i in there:
+        for n in range(1, bins // i + 1):
+            rest = bins - n * i
+            if not rest:
+                found.add(((i, n),))
+            found.update(tuple(sorted(((i, n), (j, rest // j)))) for j in range(i + 1, rest + 1) if j in known and rest % j == 0)
     out = np.zeros((len(found), bins), np.float64)
-    for i, c in enumerate(found):
-        for x in c:
-            out[i, x - 1] += 1
+    for row, c in zip(out, sorted(found), strict=True):
+        for x, n in c:
+            row[x - 1] = n
     return out
 
 
@@ -190,24 +195,31 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
+def solved(left: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings and how often to use each, by the solver's rounded counts as far as the pieces last; takes what it uses off ``left``."""
+    a = combinations(len(left), depth, left > 0)
+    if not len(a):
+        return []
+    weight = np.sqrt(np.arange(1, len(left) + 1))  # padding costs by length
+    x = np.rint(nnls((a * weight).T, left * weight)).astype(np.int64)
+    out: list[tuple[tuple[int, ...], int]] = []
+    for i in np.argsort(-x, kind="stable"):
+        need = a[i].astype(np.int64)
+        n = min(int(x[i]), *(int(left[j] // need[j]) for j in np.flatnonzero(need)))
+        if n > 0:
+            left -= n * need
+            out.append((tuple(int(j) + 1 for j in np.flatnonzero(need) for _ in range(need[j])), n))
+    return out
+
+
 def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
     """How often to fill a window with which lengths (in steps), so that every length's count is used up exactly.
 
-    The solver's counts are rounded down where pieces run out; the rest is packed greedily, largest first, each time repeating
+    The solver's counts are rounded and end where pieces run out; the rest is packed greedily, largest first, each time repeating
     one filling as often as the counts last, so work follows the number of different lengths and not of pieces.
     """
     bins, left = len(histogram), histogram.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left.sum():
-        a = combinations(bins, depth)
-        weight = np.sqrt(np.arange(1, bins + 1))  # padding costs by length
-        x = np.rint(nnls((a * weight).T, left * weight)).astype(np.int64)
-        for i in np.argsort(-x, kind="stable"):
-            need = a[i].astype(np.int64)
-            n = min(int(x[i]), *(int(left[j] // need[j]) for j in np.flatnonzero(need)))
-            if n > 0:
-                left -= n * need
-                out.append((tuple(int(j) + 1 for j in np.flatnonzero(need) for _ in range(need[j])), n))
+    out = solved(left, depth) if left.any() else []
     while left.any():
         room, fill = bins, []
         counts = left.copy()
@@ -227,29 +239,36 @@ def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...
 def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, step: int = STEP, depth: int = DEPTH, end_id: int = END_ID, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of at most ``window`` tokens.
 
-    Documents are cut at multiples of window only. Whole pieces are sequences of their own; the histogram of the others, by length
-    in steps, goes to the driver (window / step numbers), where counts of length combinations are solved by NNLS. A piece's rank
-    among those of its length says which sequence takes it, so no group meets in one task: ranks come from counts by length and
-    salt. Returns ``pieces`` with sequence_id and offset.
+    Documents are cut at multiples of window only. Whole pieces are sequences of their own. Short pieces of one length are bundled, and a bundle
+    counts as a piece. The histogram of pieces and bundles, by length in steps (window / step numbers), goes to the driver, where
+    counts of length combinations are solved by NNLS. A piece's rank among those of its length says which sequence takes it, so no group meets
+    in one task: ranks come from counts by length and salt, and a length has as many salts as its count asks for. Returns ``pieces`` with sequence_id and offset.
 
-    Null text is empty: such a document is its end id alone. Rows with a null or repeated id are packed like any other. An empty table
-    gives an empty result. ``window`` is a multiple of ``step``. Extra columns are not read.
+    Null text is empty: such a document is its end id alone. Bytes that are not UTF-8 read as U+FFFD. Rows with a null or repeated id are packed like
+    any other. An empty table gives an empty result. ``window`` is a multiple of ``step``. Extra columns are not read.
     """
     spark = docs.sparkSession
+    short, bundle = min(SHORT, window // 4), min(BUNDLE, window)
     cut = common.table(pieces(docs, tokenizer, window=window, end_id=end_id, ids=ids, id_col=id_col, text_col=text_col), "pieces")
-    salts = max(8, common.cores(spark))
-    cut = cut.withColumn("bin", F.ceil(F.col("length") / step).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = {(r["bin"], r["salt"]): r["n"] for r in cut.groupBy("bin", "salt").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most window / step * salts rows
+    # A kind of piece: its exact length, or behind those its length in steps.
+    cut = cut.withColumn("kind", F.when(F.col("length") <= short, F.col("length")).otherwise(short + F.ceil(F.col("length") / step)).cast("int"))
+    count = {r["kind"]: r["n"] for r in cut.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most short + window / step rows
     bins = window // step
     histogram = np.zeros(bins, np.int64)
-    before = []
-    for (b, s), n in sorted(counts.items()):
-        before.append((b, s, int(histogram[b - 1])))
-        histogram[b - 1] += n
+    # kind, salts, pieces a unit, length in steps and first rank of full units, number of full units, length and rank of the last, not full one.
+    units = []
+    for kind, n in sorted(count.items()):
+        each = bundle // kind if kind <= short else 1
+        full, b = n // each, -(-each * kind // step) if kind <= short else kind - short
+        last, c = n % each, max(1, -(-(n % each) * kind // step))
+        ahead = int(histogram[b - 1])
+        histogram[b - 1] += full
+        units.append((kind, -(-n // RANKED), each, b, ahead, full, c, int(histogram[c - 1])))
+        histogram[c - 1] += last > 0
     whole = int(histogram[bins - 1])
     rest = histogram.copy()
     rest[bins - 1] = 0
-    # For each length, ranks from first on go to sequences from base on, per sequence `each` pieces at places from `place` on.
+    # For each length, units of ranks from first on go to sequences from base on, per sequence `each` units at places from `place` on.
     runs, used, base = [(bins, 0, whole, 0, 1, 0)], np.zeros(bins, np.int64), whole
     for fill, n in plan(rest, depth) if rest.any() else []:
         place = 0
@@ -259,14 +278,19 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, step: int = S
             used[b - 1] += n * each
             place += each
         base += n
-    w = Window.partitionBy("bin", "salt").orderBy("doc_id", "start", "ids_crc32")
-    # Both small tables are bounded by window / step: one has a row a length and salt, the other a row a length of a combination.
-    first = spark.createDataFrame(before or [(0, 0, 0)], "bin int, salt int, ahead long")
+    # Both tables are bounded by short and window / step: one has a row a kind, the other a row a length of a combination.
+    unit = spark.createDataFrame(units or [(0,) * 8], "kind int, salts int, each long, full_bin int, full_from long, full long, last_bin int, last_from long")
     run = spark.createDataFrame(runs, "r_bin int, r_from long, r_to long, r_base long, r_each long, r_place long")
-    ranked = cut.withColumn("nth", F.row_number().over(w)).join(F.broadcast(first), ["bin", "salt"]).withColumn("rank", F.col("ahead") + F.col("nth") - 1)
+    cut = cut.join(F.broadcast(unit), "kind").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts")).cast("int"))
+    counts = cut.groupBy("kind", "salt").agg(F.count(F.lit(1)).alias("n"))
+    ahead = counts.select("kind", "salt", (F.sum("n").over(Window.partitionBy("kind").orderBy("salt")) - F.col("n")).alias("ahead"))
+    ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "salt").orderBy("doc_id", "start", "ids_crc32"))).join(ahead, ["kind", "salt"])
+    ranked = ranked.withColumn("nth", F.col("ahead") + F.col("nth") - 1).withColumn("bundle", F.floor(F.col("nth") / F.col("each"))).withColumn("within", F.col("nth") % F.col("each"))
+    is_full = F.col("bundle") < F.col("full")
+    ranked = ranked.withColumn("bin", F.when(is_full, F.col("full_bin")).otherwise(F.col("last_bin"))).withColumn("rank", F.when(is_full, F.col("full_from") + F.col("bundle")).otherwise(F.col("last_from")))
     placed = ranked.join(F.broadcast(run), (F.col("bin") == F.col("r_bin")) & (F.col("rank") >= F.col("r_from")) & (F.col("rank") < F.col("r_to")))
     nth = F.col("rank") - F.col("r_from")
     placed = placed.withColumn("sequence_id", F.col("r_base") + F.floor(nth / F.col("r_each"))).withColumn("place", F.col("r_place") + nth % F.col("r_each"))
-    seq = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    seq = Window.partitionBy("sequence_id").orderBy("place", "within").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(seq), F.lit(0)).alias("offset")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ids, "sequence_id", offset)
