@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Features kept for each label, which bounds what the driver and the executors hold; labelled documents that a feature needs.
-FEATURES, SUPPORT = 4096, 5
-#: Labelled documents on which the weights of shape and evidence are fitted.
-SAMPLE = 20_000
+#: Labelled documents on which the classifier is fitted, at most: it bounds what the driver and the executors hold of words and weights.
+SAMPLE = 40_000
+#: Labelled documents that a word needs.
+SUPPORT = 5
+#: Different words that a task counts before it sends the counts on.
+HELD = 100_000
+#: A longer word is told by the digest of all its bytes.
+LONGEST = 48
 #: Least evidence of a word: log odds over their standard error.
 Z = 4.0
 #: Reject at this probability of a fault.
@@ -31,8 +36,11 @@ def step(x: float) -> int:
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Words of letters only, A-Z folded."""
-    return text.translate(FOLD).split()
+    """Words of letters only, A-Z folded; long ones by their digest."""
+    words = text.translate(FOLD).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w if len(w) <= LONGEST else b"#" + hashlib.blake2b(w, digest_size=16).digest() for w in words]
 
 
 def shape(text: bytes, words: list[bytes]) -> list[int]:
@@ -62,12 +70,12 @@ def count_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in it:
         for text, low, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for f in {w[:64] for w in words_of(text or b"")}:
+            for f in set(words_of(text or b"")):
                 row = held.setdefault(f, [0, 0, 0])
                 row[0] += 1
                 row[1] += low
                 row[2] += toxic
-            if len(held) > 400_000:
+            if len(held) > HELD:
                 yield from send()
                 held.clear()
     yield from send()
@@ -86,7 +94,7 @@ class Model:
     def evidence(self, text: bytes) -> tuple[float, float, list[int]]:
         """Summed weights of the document's different words for each fault, and its shape."""
         words = words_of(text)
-        hits = [self.words[w] for w in self.words.keys() & {w[:64] for w in words}]
+        hits = [self.words[w] for w in self.words.keys() & set(words)]
         return sum(h[0] for h in hits), sum(h[1] for h in hits), shape(text, words)
 
     def score(self, text: bytes) -> tuple[float, float]:
@@ -99,38 +107,50 @@ def word_terms(low: float, toxic: float) -> np.ndarray:
     return np.array([1.0, min(low, 20) / 5, low > 0, min(toxic, 20) / 5, toxic > 0])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method; the first column, a constant, is not held back."""
-    w, hold = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def logistic(terms: np.ndarray, bins: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method on terms and, behind them, 0/1 columns; the first column, a constant, is not held back."""
+    n, k = len(y), terms.shape[1] + bins.shape[1]
+    w, hold = np.zeros(k), np.full(k, ridge)
     hold[0] = 1e-6
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step_ = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(hold), x.T @ (y - p) - hold * w)
+        slope, curve = -hold * w, np.diag(hold)
+        for a in range(0, n, 4096):  # a part at a time, so that only small columns are held for all rows
+            x = np.concatenate([terms[a : a + 4096], bins[a : a + 4096]], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope += x.T @ (y[a : a + 4096] - p)
+            curve += (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
+        step_ = np.linalg.solve(curve, slope)
         w += step_
         if np.abs(step_).max() < 1e-6:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, n_features: int = FEATURES, support: int = SUPPORT, z: float = Z, sample: int = SAMPLE) -> Model:
-    """Words are weighed over all labelled documents, by grouped counts: a log odds ratio r with variance v has weight
-    r * max(0, 1 - v / r^2), where it stands z errors or more above 0; the n_features words with most evidence for a fault come to the driver. How their sums and the
-    text's shape go together is fitted on at most ``sample`` labelled documents, those with the smallest hashes of their ids."""
-    marked = docs.join(labels, "doc_id")
+def fit(docs: DataFrame, labels: DataFrame, *, support: int = SUPPORT, z: float = Z, sample: int = SAMPLE) -> Model:
+    """A model from at most ``sample`` labelled documents, those with the smallest hashes of their ids, chosen among all.
+
+    Words are weighed by grouped counts: a log odds ratio r with variance v has weight r * max(0, 1 - v / r^2), where it stands z errors or more
+    above 0. Every such word of the sample comes to the driver. How their sums and the text's shape go together is fitted on the same documents.
+    The chosen ids meet the documents by broadcast, so no text is shuffled.
+    """
+    hashed, n = labels.withColumn("h", F.xxhash64("doc_id")), labels.count()
+    if n > 2 * sample:  # a bound that holds half as many again, so that the sort need not see all labels
+        hashed = hashed.where(F.col("h") < int(-(2**63) + 2**64 * (1.5 * sample / n)))
+    chosen = hashed.orderBy("h", "doc_id").limit(sample).drop("h")
+    marked = common.table(docs.join(F.broadcast(chosen), "doc_id").select("text", "low", "toxic"), "marked")
     totals = marked.agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()
     n = totals["n"] or 0
     if not n:
         weights = np.zeros((2, 5 + SHAPES))
         weights[:, 0] = -30
         return Model({}, weights)
-    counts = common.table(marked.select("text", "low", "toxic").mapInArrow(count_features, COUNTS).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "n_low", "n_toxic"))).where(F.col("n") >= support), "features")
+    counts = common.table(marked.mapInArrow(count_features, COUNTS).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "n_low", "n_toxic"))).where(F.col("n") >= support), "features")
     words: dict[bytes, list[float]] = {}
     for k, (column, bad) in enumerate((("n_low", totals["low"]), ("n_toxic", totals["toxic"]))):
         a, b = F.col(column) + 0.5, F.col("n") - F.col(column) + 0.5
         c, d = F.lit(bad) - F.col(column) + 0.5, F.lit(n - bad) - (F.col("n") - F.col(column)) + 0.5
         ratio, var = F.log(a * d / (b * c)), 1 / a + 1 / b + 1 / c + 1 / d
-        top = counts.select("feature", ratio.alias("r"), var.alias("v")).withColumn("z", F.col("r") / F.sqrt("v")).where(F.col("z") >= z)
-        for row in top.orderBy(F.desc("z"), "feature").limit(n_features).collect():
+        for row in counts.select("feature", ratio.alias("r"), var.alias("v")).where(F.col("r") >= z * F.sqrt("v")).collect():  # bounded by the sample's words
             words.setdefault(bytes(row["feature"]), [0.0, 0.0])[k] = row["r"] * max(0.0, 1 - row["v"] / row["r"] ** 2)
     model = Model({w: (x[0], x[1]) for w, x in words.items()}, np.zeros((2, 5 + SHAPES)))
     ddl = "low int, toxic int, by_words double, by_toxic_words double, bins array<int>"
@@ -140,15 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, n_features: int = FEATURES, suppo
             rows = [model.evidence(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield common.batches({"low": batch.column(1).to_pylist(), "toxic": batch.column(2).to_pylist(), "by_words": [r[0] for r in rows], "by_toxic_words": [r[1] for r in rows], "bins": [r[2] for r in rows]}, common.arrow_schema(ddl))
 
-    chosen = marked.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) if n > sample else None
-    picked = marked.join(chosen, "doc_id", "left_semi") if chosen is not None else marked
-    got = picked.select("text", "low", "toxic").mapInArrow(vectors, ddl).collect()
-    x = np.zeros((len(got), 5 + SHAPES))
-    for row, g in zip(x, got, strict=True):
-        row[:5] = word_terms(g["by_words"], g["by_toxic_words"])
-        row[[5 + b for b in g["bins"]]] = 1
+    got = marked.mapInArrow(vectors, ddl).toArrow()  # at most `sample` rows
+    terms = np.array([word_terms(a, b) for a, b in zip(got["by_words"].to_pylist(), got["by_toxic_words"].to_pylist(), strict=True)])
+    bins = np.zeros((len(terms), SHAPES), np.uint8)
+    for row, places in zip(bins, got["bins"].to_pylist(), strict=True):
+        row[places] = 1
     for k, name in enumerate(("low", "toxic")):
-        model.weights[k] = logistic(x, np.array([g[name] for g in got], float))
+        model.weights[k] = logistic(terms, bins, got[name].to_numpy().astype(float))
     return model
 
 
@@ -162,7 +180,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, reject: float = REJECT, id_c
 
     labels: doc_id, quality (0 is low), toxic (1 is toxic); null labels count as no fault, of repeated ids the worst label counts. Without labels nothing is
     rejected. Null text is empty and gets the base rates; a null host or path is a site of its own. Rows without an id are left out; of rows
-    that repeat an id the one with the smallest text (null first) stays. Extra columns are not read.
+    that repeat an id the one with the smallest text (null last) stays. Extra columns are not read.
     """
     spark = docs.sparkSession
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
@@ -171,7 +189,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, reject: float = REJECT, id_c
     if model is None:
         marks = labels.select(F.col("doc_id").cast("long"), F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0)).alias("low"), F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0)).alias("toxic"))
         model = fit(rows.select("doc_id", "text"), marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic")))
-    held = spark.sparkContext.broadcast(model)  # at most 2 * FEATURES features
+    held = spark.sparkContext.broadcast(model)  # words of at most SAMPLE documents
     ddl = "doc_id long, host string, path string, low double, tox double"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
