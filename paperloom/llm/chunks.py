@@ -112,7 +112,7 @@ def dedup(docs: DataFrame, *, run: int = 1, id_col: str = "doc_id", text_col: st
     A caller may ask that repeated chunks stay where neighbouring ones make up fewer than ``run`` bytes and not the whole text; the query does not.
 
     Null and empty texts have no chunks and stay. Rows without an id are left out; of rows that repeat an id the one with the smallest text
-    (null first) stays. Empty tables give an empty result; extra columns are not read.
+    (null last) stays. Empty tables give an empty result; extra columns are not read.
     """
     rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
     by_doc = repeated_chunks(rows, **how).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 import pyarrow as pa
@@ -13,57 +11,60 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine (local mode) where it is unset, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Has Spark delete the shuffle files of a statement when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs a re-read only.
 
-    The folder goes when the JVM ends.
+    The shuffle files of the write go with its end, the folder when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of finished steps whose results are in tables.
-
-    Python's handles go first, and the JVM notices that in a later collection; the files themselves go in the background.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def one_each(df: DataFrame, key: str, *, order: str) -> DataFrame:
-    """df with one row for each key: rows without a key are not addressable and are left out, of rows that repeat a key the first by ``order`` (nulls first) stays.
+    """df with one row for each key: rows without a key are not addressable and are left out, of rows that repeat a key the first by ``order`` (nulls last) stays.
 
-    The usual case, unique keys, costs one count over the key column and no shuffle of the rest.
+    The usual case, unique keys, costs one count over the key column and no shuffle of the rest. Else rows meet as one aggregate with
+    partial minima, so that a key with many rows is not one task's.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     odd = counts.where("n > 1").limit(1).count()
     df = df.where(F.col(key).isNotNull())
     if not odd:
         return df
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_first())
-    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    rest = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min(F.struct(F.col(order).isNull().alias("_null"), order, *(c for c in rest if c != order))).alias("_first"))
+    return first.select(key, *(F.col(f"_first.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
 def cores(spark: SparkSession) -> int:

@@ -19,11 +19,11 @@ PERCENT = 80
 #: 64-bit words of a bitmap signature.
 WORDS = 16
 #: Rows of a tile; members that are compared with one hub in a task.
-TILE, CHUNK = 512, 512
+TILE, CHUNK = 512, 128
 #: Candidate pairs that a task holds to send each once.
 HELD_PAIRS = 1_000_000
-#: A shingle in over this part of the documents comes last in the order that prefixes follow.
-COMMON = 1e-3
+#: A shingle in over this part of a task's documents is counted; so many of the most frequent ones come last in the order that prefixes follow.
+COMMON, LATE = 5e-4, 200_000
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A 64-bit number for each byte, from a seeded generator.
 BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -94,7 +94,7 @@ def summarise(size: int):
 
         def often() -> Iterator[pa.RecordBatch]:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= max(3, docs * COMMON / 2)
+            keep = n >= max(3, docs * COMMON)
             k = int(keep.sum())
             columns = [np.full(k, TOKEN, np.int32), np.zeros(k, np.int64), n[keep], tokens[keep].view(np.int64), np.zeros(k, np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -261,7 +261,6 @@ def verify(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFr
     sent = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(ship, SHIPPED)
     sent = sent.repartition(common.cores(spark), "hub", "part").sortWithinPartitions("hub", "part", "role", "doc_id")
     links = common.table(sent.mapInArrow(intersect(size, percent), LINKS), "links")
-    common.let_go(spark)
     return links
 
 
@@ -270,11 +269,11 @@ def place_fits(n: Column, at: Column, m: Column, to: Column, percent: int) -> Co
     return F.least(n - at, m - to) * (100 + percent) >= percent * (n + m)
 
 
-TILES = "key long, side int, doc_id long, n long, pos int, component long, bits array<long>"
+TILES = "key long, side int, upper int, doc_id long, n long, pos int, component long, bits array<long>"
 
 
-def candidate_pairs(key: np.ndarray, side: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray, component: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one key that may link, groups of equal size at once: of different components, and places, sizes and bitmaps allow it."""
+def candidate_pairs(key: np.ndarray, side: np.ndarray, upper: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray, component: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key that may link, groups of equal size at once: of different components, not both of the upper band, and places, sizes and bitmaps allow it."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     for g in np.unique(size[size > 1]).tolist():
@@ -283,7 +282,7 @@ def candidate_pairs(key: np.ndarray, side: np.ndarray, doc: np.ndarray, n: np.nd
         some = max(1, 1_000_000 // len(i))
         for k in range(0, len(at), some):
             x, y = ((at[k : k + some, None] + z).ravel() for z in (i, j))
-            ok = (component[x] != component[y]) & ((side[x] == 0) & (side[y] == 0) | (side[x] != side[y]))
+            ok = (component[x] != component[y]) & ((upper[x] == 0) | (upper[y] == 0)) & ((side[x] == 0) | (side[x] != side[y]))
             x, y = x[ok], y[ok]
             total = n[x] + n[y]
             ok = (np.minimum(n[x] - pos[x], n[y] - pos[y]) * (100 + percent) >= percent * total) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
@@ -295,7 +294,7 @@ def candidate_pairs(key: np.ndarray, side: np.ndarray, doc: np.ndarray, n: np.nd
 
 
 def compare_tiles(percent: int):
-    """Rows sorted by tile pair: those that may link. side 0 meets itself and sides 1 and 2; 1 meets 2 only."""
+    """Rows sorted by key: those that may link, each pair once a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = common.arrow_schema(LINKS)
@@ -309,8 +308,8 @@ def compare_tiles(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=schema)
 
         for batch in it:
-            bits = batch.column(6).flatten().to_numpy().reshape(-1, WORDS).view(np.uint64)
-            rows = [*(batch.column(k).to_numpy().astype(np.int64) for k in range(6)), bits]
+            bits = batch.column(7).flatten().to_numpy().reshape(-1, WORDS).view(np.uint64)
+            rows = [*(batch.column(k).to_numpy().astype(np.int64) for k in range(7)), bits]
             if rest:
                 rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
             last = int(np.max(np.flatnonzero(rows[0] != rows[0][-1]), initial=-1)) + 1
@@ -328,62 +327,91 @@ def compare_tiles(percent: int):
     return run
 
 
-def tiled(groups: DataFrame, percent: int) -> DataFrame:
-    """Tile pairs of each token's members. Up to TILE members are one tile; more are banded by size, so that only neighbouring bands
-    can be similar, and bands cut into tiles by hash; each pair of tiles that may hold similar rows is a task's key."""
-    small = groups.where(F.col("members") <= TILE).select(F.xxhash64("token").alias("key"), F.lit(0).alias("side"), "doc_id", "n", "pos", "component", "bits")
-    large = groups.where(F.col("members") > TILE)
+def banded(members: DataFrame, percent: int) -> DataFrame:
+    """Each member (token, doc_id, n, pos) in its token's tiles by size: that of its own band and, as one of the upper band, the one below.
+
+    Bands grow by 100 / percent, so sets of the sizes that similarity allows are of one band or of neighbouring ones and meet in the tile
+    of the smaller: that tile, and no other, has the pair.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
+    tiles = F.array(F.struct(band.alias("band"), F.lit(0).alias("upper")), F.struct((band - 1).alias("band"), F.lit(1).alias("upper")))
+    return members.select("token", "doc_id", "n", "pos", F.explode(tiles).alias("tile")).select("token", "tile.band", "tile.upper", "doc_id", "n", "pos")
+
+
+def hubs(tiles: DataFrame) -> DataFrame:
+    """token, band, members and hub, the smallest member of the own band, of each tile that can hold a pair."""
+    own = F.when(F.col("upper") == 0, F.struct("doc_id", "n", "pos"))
+    return tiles.groupBy("token", "band").agg(F.count(F.lit(1)).alias("members"), F.min(own).alias("hub")).where("members > 1 and hub is not null")
+
+
+def dealt(tiles: DataFrame) -> DataFrame:
+    """The tiles' rows by key. Up to TILE members share one key; more are cut by hash, and each pair of cuts is a key, in which side 0 meets itself
+    and 1 meets 2."""
     cuts = F.ceil(F.col("members") / TILE).cast("int")
-    large = large.withColumn("band", band).withColumn("cuts", cuts).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("cuts") - 1)
-    within = F.transform(every, lambda j: F.struct(F.xxhash64("token", "band", F.least(j, F.col("tile")), F.greatest(j, F.col("tile")), F.lit(0)).alias("key"), F.when(j == F.col("tile"), 0).when(j > F.col("tile"), 1).otherwise(2).alias("side")))
-    up = F.transform(every, lambda j: F.struct(F.xxhash64("token", "band", F.col("tile"), j, F.lit(1)).alias("key"), F.lit(1).alias("side")))
-    down = F.transform(every, lambda j: F.struct(F.xxhash64("token", F.col("band") - 1, j, F.col("tile"), F.lit(1)).alias("key"), F.lit(2).alias("side")))
-    large = large.withColumn("at", F.explode(F.concat(within, up, down))).select("at.key", "at.side", "doc_id", "n", "pos", "component", "bits")
-    return small.unionByName(large)
+    rows = tiles.withColumn("cuts", cuts).withColumn("cut", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
+    side = lambda j: F.when(j == F.col("cut"), 0).when(j > F.col("cut"), 1).otherwise(2)
+    keys = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.xxhash64("token", "band", F.least(j, F.col("cut")), F.greatest(j, F.col("cut"))).alias("key"), side(j).alias("side")))
+    return rows.withColumn("at", F.explode(keys)).select("at.key", "at.side", "upper", "doc_id", "n", "pos", "component", "bits")
 
 
-def join(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id: near-duplicate components of documents by the Jaccard similarity of their word shingles.
+def pairs_in(tiles: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of members of a tile, of different components, whose bitmaps allow the similarity."""
+    rows = dealt(tiles.join(held.select("doc_id", "bits"), "doc_id")).repartition(common.cores(held.sparkSession), "key").sortWithinPartitions("key")
+    return prune_wide(rows.mapInArrow(compare_tiles(percent), LINKS).distinct(), held, percent)
 
-    1. Documents with equal sets are one class (its smallest id); only class representatives go on.
-    2. Similar sets share a shingle of their prefixes, under an order of all shingles that puts those of over one document in a thousand
-       last (counted over all documents), and their first common one at places that leave enough behind it. Each shingle's group has its smallest member as hub: pairs of members and hubs, pruned by size and by
-       bitmaps, are intersected exactly.
-    3. In groups that these links leave in several components all remaining pairs are looked at, as tiles: banded by size, bitmaps
-       bound the overlap from above, and what passes is intersected exactly. Pairs that are in one component already need no test.
 
-    Null and empty texts, and those without words, have no shingles and are linked with nothing. Rows without an id are left out; of rows that repeat
-    an id the one with the smallest text (null first) stays. Empty tables give an empty result; extra columns are not read.
-    """
+def prepared(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents, their sets' sizes and digests, classes of equal sets, prefixes and bitmaps of one document a class, and members of tokens that several of these have."""
     spark = docs.sparkSession
     rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
     found = common.table(rows.mapInArrow(summarise(size), SUMMARY), "sets")
     sums = found.where(F.col("kind") == DOC).select("doc_id", "n", "d1", "d2")
     classes = common.table(sums.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    totals = sums.agg(F.count(F.lit(1)).alias("docs")).first()
-    # A document has n shingles, so at most sum(n) / (docs * COMMON) = 1000 * (mean n) shingles are in so many documents.
-    often = found.where(F.col("kind") == TOKEN).groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4.0, totals["docs"] * COMMON))
-    hot = np.sort(np.array([r["d1"] for r in often.select("d1").collect()], np.int64).view(np.uint64))
-    late = spark.sparkContext.broadcast(hot)
+    # Any order of shingles gives right prefixes if all documents follow it; putting the most frequent ones last keeps groups small.
+    often = found.where(F.col("kind") == TOKEN).groupBy("d1").agg(F.sum("n").alias("n")).where("n > 3").orderBy(F.desc("n"), "d1").limit(LATE)
+    late = spark.sparkContext.broadcast(np.sort(np.array([r["d1"] for r in often.select("d1").collect()], np.int64).view(np.uint64)))  # at most LATE numbers
     reps = classes.select(F.col("class_id").alias("doc_id"))
     held = common.table(rows.join(reps, "doc_id").select("doc_id", "text").mapInArrow(prefixes(size, percent, late), PREFIX), "prefixes")
-    common.let_go(spark)
     tokens = held.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "n", "pos")).alias("hub")).where("members > 1")
-    members = common.table(tokens.join(groups, "token"), "members")
-    common.let_go(spark)
-    may_be_first = place_fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent)
-    stars = members.where((F.col("doc_id") != F.col("hub.doc_id")) & may_be_first).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
+    return rows, sums, classes, held, common.table(tokens.join(shared, "token"), "members")
+
+
+def similar_pairs(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links between class representatives (a, b), and the membership (doc_id, class_id) of every document in a class of equal sets.
+
+    Every pair of a tile is looked at, so the work follows the number of links, which ``join`` avoids by components. Inputs as in ``join``.
+    """
+    rows, sums, classes, held, members = prepared(docs, size, percent, id_col, text_col)
+    tiles = banded(members, percent)
+    links = verify(pairs_in(tiles.join(hubs(tiles), ["token", "band"]).withColumn("component", F.col("doc_id")), held, percent), rows, size, percent)
+    return links, sums.join(classes, ["d1", "d2", "n"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def join(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id: near-duplicate components of documents by the Jaccard similarity of their word shingles.
+
+    1. Documents with equal sets are one class (its smallest id); only class representatives go on.
+    2. Members of a tile share a shingle of their prefixes, under an order of all shingles that puts the most frequent ones (counted over all
+       documents) last, and are of one band of sizes or the next (``banded``). A tile's smallest member is its hub: pairs of hubs and members
+       that sizes, places of the shingle and bitmaps allow are intersected exactly.
+    3. In tiles that these links leave in several components all remaining pairs are looked at: bitmaps bound the overlap from above, and
+       what passes is intersected exactly. Pairs that are in one component already need no test.
+
+    Null and empty texts, and those without words, have no shingles and are linked with nothing. Rows without an id are left out; of rows that repeat
+    an id the one with the smallest text (null last) stays. Empty tables give an empty result; extra columns are not read.
+    """
+    rows, sums, classes, held, members = prepared(docs, size, percent, id_col, text_col)
+    tiles = banded(members, percent)
+    tiles = common.table(tiles.join(hubs(tiles), ["token", "band"]), "tiles")
+    may_link = place_fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent) & size_fits(F.col("n"), F.col("hub.n"), percent)
+    stars = tiles.where((F.col("doc_id") != F.col("hub.doc_id")) & may_link).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = verify(prune_wide(prune(stars, held, percent), held, percent), rows, size, percent)
     first = components(links, "a", "b")
-    placed = members.join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    left = placed.where("members > 2").join(split, "token", "left_semi").join(held.select("doc_id", "bits"), "doc_id")
-    keyed = tiled(left, percent).repartition(common.cores(spark), "key").sortWithinPartitions("key")
-    more = verify(prune_wide(keyed.mapInArrow(compare_tiles(percent), LINKS).distinct(), held, percent), rows, size, percent)
+    placed = tiles.where("members > 2").join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = placed.groupBy("token", "band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token", "band")
+    more = verify(pairs_in(placed.join(split, ["token", "band"], "left_semi"), held, percent), rows, size, percent)
     linked = components(links.unionByName(more), "a", "b")
-    of_class = classes.join(linked.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sums.join(of_class, ["d1", "d2"], "left")
+    of_class = classes.join(linked.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("d1", "d2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    out = sums.join(of_class, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))

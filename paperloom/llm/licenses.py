@@ -155,7 +155,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, dice: floa
     template's number of words are.
 
     The template index is a fixed table. Documents without any probe bigram end at a substring test. Null and empty texts
-    match nothing; rows without an id are left out; of rows that repeat an id the one with the smallest text (null first) stays. Extra columns are not read.
+    match nothing; rows without an id are left out; of rows that repeat an id the one with the smallest text (null last) stays. Extra columns are not read.
     """
     if every_length:
         return scan_every_length(docs, templates if templates is not None else TEMPLATES, dice, id_col, text_col)

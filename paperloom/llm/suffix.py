@@ -413,17 +413,14 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, h
     stop = F.when(F.col("kind") == SPAN, F.col("n")).otherwise(F.col("at") + F.col("n") + F.lit(length - 1))
     is_span = (F.col("kind") == SPAN) | ~F.col("is_first")
     found = common.table(marked.select(is_span.alias("is_span"), F.when(~is_span, F.col("k1")).alias("k1"), "doc_id", "at", F.when(is_span, stop).otherwise(F.col("n")).alias("n")), "stretches")
-    common.let_go(spark)
     spans = found.where("is_span").select("doc_id", F.col("at").alias("start"), F.col("n").alias("stop"))
     singles = found.where("not is_span")
     groups = singles.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     wanted = singles.join(groups, "k1").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "at", "n", (F.col("c") > hot_group).alias("hot"))).alias("wanted"))
     wanted = common.table(wanted, "wanted")
-    common.let_go(spark)
     texts = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut_texts(length), TEXTS)
     more = texts.repartition(common.cores(spark), "key").sortWithinPartitions("key").mapInArrow(compare(length, block), SPANS)
     more = common.table(more, "spans")
-    common.let_go(spark)
     return spans.unionByName(more)
 
 
@@ -457,7 +454,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each document.
 
     Null text counts as empty, and texts shorter than ``length`` stay whole. Rows without an id are left out; of rows that repeat
-    an id the one with the smallest text (null first) stays. Empty tables give an empty result; extra columns are not read.
+    an id the one with the smallest text (null last) stays. Empty tables give an empty result; extra columns are not read.
     """
     rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
     spans = repeated_spans(docs, length=length, id_col=id_col, text_col=text_col, **how)
