@@ -29,7 +29,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest id of each component of near duplicates."""
     found = jaccard.join(docs)
     gone = common.table(found.where("component_id <> doc_id").select("doc_id"), "gone")
-    common.let_go(spark)
     return _rows(docs).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -66,5 +65,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = common.table(stage(spark, docs, sf_dir), name)
-        common.let_go(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

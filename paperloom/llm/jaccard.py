@@ -360,10 +360,10 @@ def pairs_in(tiles: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return prune_wide(rows.mapInArrow(compare_tiles(percent), LINKS).distinct(), held, percent)
 
 
-def prepared(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+def prepared(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, unique_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """The documents, their sets' sizes and digests, classes of equal sets, prefixes and bitmaps of one document a class, and members of tokens that several of these have."""
     spark = docs.sparkSession
-    rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
+    rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text", unique=unique_ids)
     found = common.table(rows.mapInArrow(summarise(size), SUMMARY), "sets")
     sums = found.where(F.col("kind") == DOC).select("doc_id", "n", "d1", "d2")
     classes = common.table(sums.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -377,18 +377,18 @@ def prepared(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     return rows, sums, classes, held, common.table(tokens.join(shared, "token"), "members")
 
 
-def similar_pairs(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def similar_pairs(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", unique_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """All links between class representatives (a, b), and the membership (doc_id, class_id) of every document in a class of equal sets.
 
     Every pair of a tile is looked at, so the work follows the number of links, which ``join`` avoids by components. Inputs as in ``join``.
     """
-    rows, sums, classes, held, members = prepared(docs, size, percent, id_col, text_col)
+    rows, sums, classes, held, members = prepared(docs, size, percent, id_col, text_col, unique_ids)
     tiles = banded(members, percent)
     links = verify(pairs_in(tiles.join(hubs(tiles), ["token", "band"]).withColumn("component", F.col("doc_id")), held, percent), rows, size, percent)
     return links, sums.join(classes, ["d1", "d2", "n"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def join(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", unique_ids: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id: near-duplicate components of documents by the Jaccard similarity of their word shingles.
 
     1. Documents with equal sets are one class (its smallest id); only class representatives go on.
@@ -401,7 +401,7 @@ def join(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, id_col
     Null and empty texts, and those without words, have no shingles and are linked with nothing. Rows without an id are left out; of rows that repeat
     an id the one with the smallest text (null last) stays. Empty tables give an empty result; extra columns are not read.
     """
-    rows, sums, classes, held, members = prepared(docs, size, percent, id_col, text_col)
+    rows, sums, classes, held, members = prepared(docs, size, percent, id_col, text_col, unique_ids)
     tiles = banded(members, percent)
     tiles = common.table(tiles.join(hubs(tiles), ["token", "band"]), "tiles")
     may_link = place_fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent) & size_fits(F.col("n"), F.col("hub.n"), percent)

@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, support: int = SUPPORT, z: float
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", model: Model | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", model: Model | None = None, unique_ids: bool = False) -> DataFrame:
     """doc_id, p_low, p_toxic, host_rate, path_rate, p_fault, keep for each document.
 
     The classifier's evidence for a document (``fit`` on the labelled ones) gives a probability of a fault. These are summed by
@@ -185,7 +185,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, reject: float = REJECT, id_c
     spark = docs.sparkSession
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     columns += [F.col(c).cast("string").alias(a) if c in docs.columns else F.lit(None).cast("string").alias(a) for c, a in ((host, "host"), (path, "path"))]
-    rows = common.one_each(docs.select(*columns), "doc_id", order="text")
+    rows = common.one_each(docs.select(*columns), "doc_id", order="text", unique=unique_ids)
     if model is None:
         marks = labels.select(F.col("doc_id").cast("long"), F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0)).alias("low"), F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0)).alias("toxic"))
         model = fit(rows.select("doc_id", "text"), marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic")))

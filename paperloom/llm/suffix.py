@@ -18,12 +18,12 @@ from . import common
 LENGTH = 100
 #: Bytes of the string whose least hash in a window names the window's group.
 GRAM = 32
-#: Groups of more different stretches than this are dealt out window by window.
+#: Groups of more rows than this, whose texts differ, are dealt out window by window.
 HOT_GROUP = 4000
 #: Bytes of text that one suffix array covers (a group may exceed it by its own size).
 BLOCK = 1 << 19
-#: Bytes that are hashed at once; rows that a task holds before it sends them.
-SLAB, HELD = 1 << 20, 2_000_000
+#: Bytes that are hashed at once; stretches that a task holds before it sends them; bytes that are gathered at once.
+SLAB, HELD, GATHERED = 1 << 20, 1_000_000, 1 << 22
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -252,14 +252,37 @@ def joined_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     return doc[first], start[first], reach[last] - shift[last]
 
 
-def send_stretches(rows: list[tuple[np.ndarray, ...]], length: int) -> Iterator[pa.RecordBatch]:
-    """The first of equal stretches among the rows goes on; the others are spans that go."""
-    k1, k2, doc, at, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-    order = np.lexsort((at, doc))
-    k1, k2, doc, at, n = k1[order], k2[order], doc[order], at[order], n[order]
-    order = np.argsort(k1 ^ (k2 * C1), kind="stable")
-    k1, k2, doc, at, n = k1[order], k2[order], doc[order], at[order], n[order]
-    first = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one behind the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def portions(size: np.ndarray, most: int = GATHERED) -> Iterator[slice]:
+    """Slices of consecutive ranges with about ``most`` members together."""
+    number = np.cumsum(size) // most
+    cut = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(size) else np.zeros(0, np.int64)
+    yield from map(slice, cut.tolist(), [*cut[1:].tolist(), len(size)])
+
+
+def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes at x are those at y."""
+    out = np.ones(len(x), bool)
+    for s in portions(size):
+        differ = data[ranges(x[s], size[s])] != data[ranges(y[s], size[s])]
+        out[s] = ~np.logical_or.reduceat(differ, np.cumsum(size[s]) - size[s])
+    return out
+
+
+def send_stretches(rows: list[tuple[np.ndarray, ...]], slabs_: list[np.ndarray], length: int) -> Iterator[pa.RecordBatch]:
+    """Equal stretches among the rows are neighbours once these are sorted; of neighbours with all bytes in common the first goes on, the others are spans that go."""
+    text = np.concatenate(slabs_)
+    k1, k2, doc, at, n, place = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((at, doc, k2, k1))
+    k1, k2, doc, at, n, place = (x[order] for x in (k1, k2, doc, at, n, place))
+    again = np.flatnonzero((k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (n[1:] == n[:-1])) + 1
+    first = np.ones(len(k1), bool)
+    first[again[same_bytes(text, place[again], place[again - 1], n[again] + length - 1)]] = False
     yield from emit(STRETCH, k1[first], k2[first], doc[first], at[first], n[first])
     d, a, e = joined_spans(doc[~first], at[~first], (at + n + length - 1)[~first])
     yield from emit(SPAN, mix(d.astype(np.uint64) + C1), mix(a.astype(np.uint64)), d, a, e)
@@ -268,19 +291,21 @@ def send_stretches(rows: list[tuple[np.ndarray, ...]], length: int) -> Iterator[
 def find_stretches(length: int, gram: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        texts: list[np.ndarray] = []
+        size = behind = 0
         for batch in it:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for text, ends, ids, offsets in slabs(keys, [t or b"" for t in texts], length):
+            keys = batch.column(0).to_pylist()
+            for text, ends, ids, offsets in slabs(keys, [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], length):
                 k1, k2, a, n = stretches(text, ends, length, gram)
                 which = np.searchsorted(ends, a, side="right")
-                held.append((k1, k2, ids[which], a - np.r_[0, ends][which] + offsets[which], n))
-                size += len(a)
+                held.append((k1, k2, ids[which], a - np.r_[0, ends][which] + offsets[which], n, a + behind))
+                texts.append(text)
+                size, behind = size + len(a), behind + len(text)
                 if size >= HELD:
-                    yield from send_stretches(held, length)
-                    held, size = [], 0
+                    yield from send_stretches(held, texts, length)
+                    held, texts, size, behind = [], [], 0, 0
         if size:
-            yield from send_stretches(held, length)
+            yield from send_stretches(held, texts, length)
 
     return run
 
@@ -290,48 +315,51 @@ def find_stretches(length: int, gram: int):
 TEXTS = "key long, doc_id long, at long, n long, text binary"
 
 
+def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings or binaries, and where each starts, with the end behind."""
+    column = column.cast(pa.binary())
+    offsets, data = column.buffers()[1:]
+    return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def rows_of(key: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, data: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    text = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, doc, at, n)), text], schema=common.arrow_schema(TEXTS))
+
+
 def cut_texts(length: int):
-    """The text of each wanted stretch; hot ones window by window, the first of equal windows in a task only."""
+    """The text of each wanted stretch; hot ones window by window, sorted, of equal windows of a batch the first only."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hot_windows(data: np.ndarray, start: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        windows = sorted((data[x + p : x + p + length].tobytes(), d, a + p) for x, d, a, k in zip(start.tolist(), doc.tolist(), at.tolist(), n.tolist(), strict=True) for p in range(k))
+        first = [k for k, w in enumerate(windows) if not k or w[0] != windows[k - 1][0]]
+        again = [w for k, w in enumerate(windows) if k and w[0] == windows[k - 1][0]]
         schema = common.arrow_schema(TEXTS)
+        for k in range(0, len(first), 1 << 14):
+            part = [windows[f] for f in first[k : k + (1 << 14)]]
+            yield common.batches({"key": [xxhash.xxh3_64_intdigest(w[0]) - (1 << 63) for w in part], "doc_id": [w[1] for w in part], "at": [w[2] for w in part], "n": [1] * len(part), "text": [w[0] for w in part]}, schema)
+        if again:
+            d, a, e = joined_spans(*(np.array(x, np.int64) for x in ([w[1] for w in again], [w[2] for w in again], [w[2] + length for w in again])))
+            yield common.batches({"key": mix(d.astype(np.uint64) * C1 + a.astype(np.uint64)).view(np.int64), "doc_id": d, "at": a, "n": e, "text": [None] * len(d)}, schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out: dict[str, list] = {f.name: [] for f in schema}
-            seen: dict[int, tuple[int, int, bytes]] = {}
-            again: list[tuple[int, int]] = []
-
-            def put(*row) -> None:
-                for name, value in zip(out, row, strict=True):  # noqa: B023
-                    out[name].append(value)  # noqa: B023
-
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for x in wanted:
-                    at, n = x["at"], x["n"]
-                    if not x["hot"]:
-                        put(x["k1"], doc, at, n, text[at : at + n + length - 1])
-                        continue
-                    for p in range(at, at + n):
-                        window = text[p : p + length]
-                        key = xxhash.xxh3_64_intdigest(window) - (1 << 63)
-                        if (old := seen.get(key)) is None or old[2] != window:
-                            if old:  # another text with this digest: both are sent
-                                put(key, doc, p, 1, window)
-                            else:
-                                seen[key] = (doc, p, window)
-                        elif (doc, p) < old[:2]:
-                            again.append(old[:2])
-                            seen[key] = (doc, p, window)
-                        else:
-                            again.append((doc, p))
-            for key, (doc, p, window) in seen.items():
-                put(key, doc, p, 1, window)
-            if again:
-                d, a, e = joined_spans(*(np.array(x, np.int64) for x in ([r[0] for r in again], [r[1] for r in again], [r[1] + length for r in again])))
-                for doc, p, end in zip(d.tolist(), a.tolist(), e.tolist(), strict=True):
-                    put(hash((doc, p)) >> 1, doc, p, end, None)
-            yield common.batches(out, schema)
+            ids = batch.column(0).to_numpy()
+            data, offsets = binary(batch.column(1))
+            wanted = batch.column(2)
+            which = np.repeat(np.arange(len(ids)), np.diff(wanted.offsets.to_numpy()))
+            flat = wanted.flatten()
+            key, at, n = (flat.field(c).to_numpy() for c in ("k1", "at", "n"))
+            hot = flat.field("hot").to_numpy(zero_copy_only=False)
+            start, doc, size = offsets[which] + at, ids[which], n + length - 1
+            cold = np.flatnonzero(~hot)
+            for s in portions(size[cold]):
+                c = cold[s]
+                yield rows_of(key[c], doc[c], at[c], n[c], data[ranges(start[c], size[c])], size[c])
+            if hot.any():
+                yield from hot_windows(data, start[hot], doc[hot], at[hot], n[hot])
 
     return run
 
@@ -358,70 +386,104 @@ def repeated_windows(text: np.ndarray, start: np.ndarray, doc: np.ndarray, at: n
 SPANS = "doc_id long, start long, stop long"
 
 
+class Group:
+    """Rows of a batch with different texts: key, doc, at, n, the bytes of all texts and each one's size."""
+
+    def __init__(self, key: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, data: np.ndarray, size: np.ndarray) -> None:
+        self.key, self.doc, self.at, self.n, self.data, self.size = key, doc, at, n, data, size
+
+    def part(self, rows: np.ndarray) -> Group:
+        start = np.cumsum(self.size) - self.size
+        return Group(self.key[rows], self.doc[rows], self.at[rows], self.n[rows], self.data[ranges(start[rows], self.size[rows])], self.size[rows])
+
+    @staticmethod
+    def joined(groups: list[Group]) -> Group:
+        return Group(*(np.concatenate([getattr(g, c) for g in groups]) for c in ("key", "doc", "at", "n", "data", "size")))
+
+
 def compare(length: int, block: int):
-    """Stretches sorted by key: blocks of whole groups, a suffix array each."""
+    """Stretches sorted by key and text: neighbours with all bytes in common are equal, so that the later ones are spans that go. The different
+    texts of a key go through a suffix array, blocks of whole groups at once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = common.arrow_schema(SPANS)
-        held: list[tuple[int, int, int, int, bytes]] = []
-        size = 0
 
         def spans(d: np.ndarray, a: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, a, e)], schema=schema)
 
-        def flush() -> pa.RecordBatch:
-            text = np.frombuffer(b"".join(r[4] for r in held), np.uint8)
-            sizes = np.array([len(r[4]) for r in held])
-            doc, at, n = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
-            return spans(*repeated_windows(text, np.cumsum(sizes) - sizes, doc, at, n, length))
-
+        def arrays(g: Group) -> Iterator[pa.RecordBatch]:
+            first = np.flatnonzero(np.r_[True, g.key[1:] != g.key[:-1]])
+            many = np.diff(np.r_[first, len(g.key)]) > 1
+            g = g.part(np.flatnonzero(np.repeat(many, np.diff(np.r_[first, len(g.key)]))))
+            if not len(g.key):
+                return
+            first = np.flatnonzero(np.r_[True, g.key[1:] != g.key[:-1]])
+            for s in portions(np.add.reduceat(g.size, first), block):
+                p = g.part(np.arange(first[s.start], first[s.stop] if s.stop < len(first) else len(g.key)))
+                yield spans(*repeated_windows(p.data, np.cumsum(p.size) - p.size, p.doc, p.at, p.n, length))
+
+        held: list[Group] = []
+        size = 0
+        last: tuple[int, bytes] | None = None
         for batch in it:
-            passed = [], [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[4] is None:
-                    for x, y in zip(passed, row[1:4], strict=True):
-                        x.append(y)
+            has = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            columns = [batch.column(k).to_numpy() for k in range(4)]
+            if not has.all():
+                yield spans(*(c[~has] for c in columns[1:]))
+                if not has.any():
                     continue
-                if size >= block and held[-1][0] != row[0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-            if passed[0]:
-                yield spans(*(np.array(x, np.int64) for x in passed))
+            data, offsets = binary(batch.column(4))
+            key, doc, at, n = (c[has] for c in columns)
+            start, sizes = offsets[:-1][has], np.diff(offsets)[has]
+            again = np.flatnonzero((key[1:] == key[:-1]) & (sizes[1:] == sizes[:-1])) + 1
+            again = again[same_bytes(data, start[again], start[again - 1], sizes[again])]
+            first = np.ones(len(key), bool)
+            first[again] = False
+            texts = lambda k: (int(key[k]), data[start[k] : start[k] + sizes[k]].tobytes())  # noqa: B023, E731
+            first[0] = last != texts(0)
+            last = texts(-1)
+            if not first.all():
+                yield spans(*joined_spans(doc[~first], at[~first], (at + n + length - 1)[~first]))
+            f = np.flatnonzero(first)
+            held.append(Group(key[f], doc[f], at[f], n[f], data[ranges(start[f], sizes[f])], sizes[f]))
+            size += len(held[-1].data)
+            if size >= 4 * block:
+                g = Group.joined(held)
+                done = g.key != last[0]
+                yield from arrays(g.part(np.flatnonzero(done)))
+                held = [g.part(np.flatnonzero(~done))]
+                size = len(held[0].data)
         if held:
-            yield flush()
+            yield from arrays(Group.joined(held))
 
     return run
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot_group: int = HOT_GROUP, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, stop: byte spans covered by strings of ``length`` bytes that start earlier too (smaller id, or same document and earlier). Spans may overlap or touch.
+def ids_and_texts(docs: DataFrame, id_col: str, text_col: str, unique_ids: bool) -> DataFrame:
+    return common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text", unique=unique_ids)
+
+
+def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot_group: int = HOT_GROUP, block: int = BLOCK) -> DataFrame:
+    """doc_id, start, stop of rows (doc_id, each once, and text): byte spans covered by strings of ``length`` bytes that start earlier too (smaller id, or same document and earlier). Spans may overlap or touch.
 
-    1. Every window belongs to the run of windows around its least gram; runs whose texts are equal need one comparison only. The
-       first of them in a task goes to the one shuffle, by gram and text hash, so a key has at most one row a task.
-    2. First runs whose gram has other runs too are fetched with their text (join by document), meet by gram, and are put
+    1. Every window belongs to the run of windows around its least gram, so equal windows are in runs with the same gram. Hashes say only which
+       runs meet. A task sends the first of runs whose bytes are the same.
+    2. Runs whose gram has other runs are fetched with their text (join by document), meet by gram and are sorted by text, so suffixes that
+       start at a run are in order: neighbours whose common prefix is all of the run are equal. The different texts of a gram are put
        through a two-stage suffix array; adjacent common prefixes of ``length`` and more make the groups of equal windows.
-       Groups of over ``hot_group`` runs meet window by window instead, so none grows with the input.
+       Groups of over ``hot_group`` runs with different texts meet window by window instead, so none grows with the input.
     """
-    spark = docs.sparkSession
-    rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
+    spark = rows.sparkSession
     sent = rows.mapInArrow(find_stretches(length, gram), SENT)
-    by_text = Window.partitionBy("k1", "k2")
-    first = F.min(F.struct("doc_id", "at")).over(by_text)
-    marked = sent.withColumn("first", first).withColumn("is_first", (F.col("kind") == SPAN) | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.at") == F.col("at"))))
-    stop = F.when(F.col("kind") == SPAN, F.col("n")).otherwise(F.col("at") + F.col("n") + F.lit(length - 1))
-    is_span = (F.col("kind") == SPAN) | ~F.col("is_first")
-    found = common.table(marked.select(is_span.alias("is_span"), F.when(~is_span, F.col("k1")).alias("k1"), "doc_id", "at", F.when(is_span, stop).otherwise(F.col("n")).alias("n")), "stretches")
+    of_gram = Window.partitionBy("k1")
+    counted = sent.withColumn("c", F.count(F.lit(1)).over(of_gram)).withColumn("differ", F.min("k2").over(of_gram) != F.max("k2").over(of_gram))
+    is_span = F.col("kind") == SPAN
+    found = common.table(counted.where(is_span | (F.col("c") > 1)).select(is_span.alias("is_span"), "k1", "doc_id", "at", "n", ((F.col("c") > hot_group) & F.col("differ")).alias("hot")), "stretches")
     spans = found.where("is_span").select("doc_id", F.col("at").alias("start"), F.col("n").alias("stop"))
-    singles = found.where("not is_span")
-    groups = singles.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    wanted = singles.join(groups, "k1").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "at", "n", (F.col("c") > hot_group).alias("hot"))).alias("wanted"))
-    wanted = common.table(wanted, "wanted")
+    wanted = found.where("not is_span").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "at", "n", "hot")).alias("wanted"))
     texts = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut_texts(length), TEXTS)
-    more = texts.repartition(common.cores(spark), "key").sortWithinPartitions("key").mapInArrow(compare(length, block), SPANS)
-    more = common.table(more, "spans")
-    return spans.unionByName(more)
+    more = texts.repartition(common.cores(spark), "key").sortWithinPartitions("key", "text", "doc_id", "at").mapInArrow(compare(length, block), SPANS)
+    return spans.unionByName(common.table(more, "spans"))
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -450,14 +512,14 @@ def keep_rest(least: int = 1):
     return run
 
 
-def dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", unique_ids: bool = False, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each document.
 
     Null text counts as empty, and texts shorter than ``length`` stay whole. Rows without an id are left out; of rows that repeat
     an id the one with the smallest text (null last) stays. Empty tables give an empty result; extra columns are not read.
     """
-    rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
-    spans = repeated_spans(docs, length=length, id_col=id_col, text_col=text_col, **how)
+    rows = ids_and_texts(docs, id_col, text_col, unique_ids)
+    spans = repeated_spans(rows, length=length, **how)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(keep_rest(), KEPT)
 

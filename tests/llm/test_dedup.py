@@ -59,6 +59,20 @@ def test_suffix_dedup_is_brute_force(spark, how):
     assert got == brute_spans(texts, 100)
 
 
+def test_bytes_and_not_hashes_decide(spark, monkeypatch):
+    """With hashes that hardly tell anything apart, texts meet that differ, and the result is the same."""
+    real = suffix.stretches
+
+    def coarse(*args):
+        k1, k2, a, n = real(*args)
+        return k1 & np.uint64(3), k2 & np.uint64(1), a, n
+
+    monkeypatch.setattr(suffix, "stretches", coarse)
+    texts = corpus(4, 15)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.dedup(frame(spark, texts), hot_group=10_000, block=4000).collect()}
+    assert got == brute_spans(texts, 100)
+
+
 def test_texts_beyond_a_slab(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SLAB", 1 << 12)
     suffix.powers.cache_clear()
@@ -170,6 +184,31 @@ def test_jaccard_join_is_brute_force(spark, monkeypatch, tile):
     assert got == brute_components(texts)
 
 
+def test_links_are_brute_force(spark):
+    r = random.Random(10)
+    texts = corpus(8, 20)
+    base = [f"w{k}" for k in range(90)]
+    for _ in range(25):
+        base[r.randrange(len(base))] = f"n{r.random()}"
+        texts.append(" ".join(base))
+    links, classes = jaccard.similar_pairs(frame(spark, texts))
+    of = {x["doc_id"]: x["class_id"] for x in classes.collect()}
+    sets = [shingles(t) for t in texts]
+    assert of == {i: min(j for j, t in enumerate(sets) if t == s and (s or i == j)) for i, s in enumerate(sets)}
+    heads = sorted(set(of.values()))
+    want = {(a, b) for a in heads for b in heads if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {(min(x), max(x)) for x in links.collect()} == want and len(want) > 20
+
+
+def test_similar_sizes_share_a_tile(spark):
+    n = [*range(1, 4000), 12_345, 99_999, 1_000_000]
+    members = spark.createDataFrame([(1, i, x, 0) for i, m in enumerate(n) for x in (m,)], "token long, doc_id long, n long, pos int")
+    band = {(x["n"], x["upper"]): x["band"] for x in jaccard.banded(members, 80).collect()}
+    for small in n[:3000]:
+        for large in {small, small * 5 // 4}:
+            assert band[small, 0] in (band[large, 0], band[large, 1])
+
+
 @pytest.mark.parametrize("op", [suffix.dedup, chunks.dedup, jaccard.join], ids=["suffix", "chunks", "jaccard"])
 def test_empty_table_null_and_repeated_ids(spark, op):
     assert op(frame(spark, [])).collect() == []
