@@ -1,15 +1,16 @@
-"""Benchmark decontamination by BM25 with block-max pruning (operator 6)."""
+"""Benchmark decontamination by BM25 and block-max WAND (operator 6)."""
 
 from __future__ import annotations
 
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -18,10 +19,12 @@ K1, B = 1.2, 0.75
 #: A passage is fetched for an item when its score is this part of the item's own.
 THRESHOLD = 0.6
 SHINGLE, OVERLAP = 5, 0.8
-#: Items in a block that shares upper bounds; items in one index, which is what a broadcast holds at most.
-BLOCK, ITEMS = 8, 2_000
-#: Passages whose bounds are held at once.
-STRIDE = 256
+#: Least items of a block that shares upper bounds, most blocks of an index.
+BLOCK, BLOCKS = 8, 64
+#: Items in one index, and indexes that a pass over the documents holds: what a broadcast holds at most.
+ITEMS, INDEXES = 2_000, 16
+#: Words whose passages are searched together.
+WORDS = 1 << 16
 #: Marks beyond ASCII, which part words as ASCII marks and blanks do.
 MARKS = re.compile("[\xa0-\xbf\u1680\u2000-\u206f\u3000-\u303f]+")
 FOLD = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -49,80 +52,121 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else ({tuple(words)} if words else set())
 
 
+class Statistics:
+    """What scores take from a whole benchmark: its number of items, their mean and largest number of words, and in how many items each word is."""
+
+    def __init__(self, n: int, mean: float, longest: int, frequency: dict[bytes, int]) -> None:
+        self.n, self.mean, self.longest, self.frequency = n, mean, longest, frequency
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        words = [w for t in texts if (w := split_words(t))]
+        return cls(len(words), sum(map(len, words)) / max(1, len(words)), max(map(len, words), default=0), Counter(w for item in words for w in set(item)))
+
+
 class Index:
-    """An inverted index of items with impacts as parts of the item's own score, and per block of items each term's largest impact."""
+    """An inverted index of items with impacts as parts of the item's own score. Items of like lengths are in blocks; a term has its largest
+    impact in each block, its largest of all, and for every block the next one that holds it."""
 
-    def __init__(self, ids: list[int], texts: list[str], block: int = BLOCK) -> None:
+    def __init__(self, ids: list[int], texts: list[str], statistics: Statistics | None = None, block: int = BLOCK) -> None:
         words = [split_words(t) for t in texts]
-        keep = [i for i, w in enumerate(words) if w]
-        order = sorted(keep, key=lambda i: (len(words[i]), ids[i]))  # like lengths in a block: tight bounds
+        order = sorted((i for i, w in enumerate(words) if w), key=lambda i: (len(words[i]), ids[i]))
+        known = statistics or Statistics.of(texts)
         self.ids = [ids[i] for i in order]
         self.words = [words[i] for i in order]
         self.parts = [question_and_answer(texts[i]) for i in order]
-        self.longest = max(map(len, self.words), default=0)
-        n, mean = len(order), sum(map(len, self.words)) / max(1, len(order))
+        self.half = max(32, known.longest)
+        n = len(order)
         postings: dict[bytes, list[tuple[int, float]]] = {}
-        for i, w in enumerate(self.words):
-            for t in set(w):
-                tf = w.count(t)
-                postings.setdefault(t, []).append((i, tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))))
         own = np.zeros(n)
-        for p in postings.values():
-            idf = math.log(1 + (n - len(p) + 0.5) / (len(p) + 0.5))
-            for k, (i, x) in enumerate(p):
-                own[i] += idf * x
-                p[k] = (i, idf * x)
+        for i, w in enumerate(self.words):
+            for t, tf in Counter(w).items():
+                idf = math.log(1 + (known.n - known.frequency[t] + 0.5) / (known.frequency[t] + 0.5))
+                x = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / known.mean))
+                postings.setdefault(t, []).append((i, x))
+                own[i] += x
+        self.block = block = max(block, -(-n // BLOCKS))
         self.terms = {t: k for k, t in enumerate(sorted(postings))}
         rows = [(i // block, k, i, x / own[i]) for t, k in self.terms.items() for i, x in postings[t]]
         rows.sort()
         blocks, term, self.item, self.impact = (np.array([r[c] for r in rows], kind) for c, kind in enumerate((np.int64, np.int64, np.int64, np.float64)))
-        self.block, self.blocks, self.unknown = block, -(-n // block), len(self.terms)
-        #: By block and term: postings from first to last, and the largest impact; the last row is for words that no item has.
-        self.first = np.searchsorted(blocks * (self.unknown + 1) + term, np.arange(self.blocks * (self.unknown + 1) + 1))
-        self.bounds = np.zeros((self.unknown + 1, self.blocks), np.float32)
+        self.blocks, self.unknown = -(-n // block), len(self.terms)
+        #: By block and term: postings from first to last.
+        self.first = np.searchsorted(blocks * self.unknown + term, np.arange(self.blocks * self.unknown + 1))
+        self.bounds = np.zeros((self.unknown, self.blocks), np.float32)
         np.maximum.at(self.bounds, (term, blocks), (self.impact * (1 + 1e-6)).astype(np.float32))
+        self.largest = self.bounds.max(axis=1, initial=0).astype(np.float64)
+        #: The first block from a given one on that holds the term; that behind the last stands for none.
+        self.next = np.full((self.unknown, self.blocks + 1), self.blocks, np.uint8)
+        for b in range(self.blocks - 1, -1, -1):
+            self.next[:, b] = np.where(self.bounds[:, b] > 0, b, self.next[:, b + 1])
 
     def scores(self, block: int, terms: np.ndarray) -> np.ndarray:
         """Scores of a block's items for different terms."""
-        at = block * (self.unknown + 1) + terms
+        at = block * self.unknown + terms
         size = self.first[at + 1] - self.first[at]
         ends = np.cumsum(size)
         rows = np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
         return np.bincount(self.item[rows] - block * self.block, self.impact[rows], minlength=self.block)
 
-    def passages(self, known: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words of the passages, windows of two halves, and for each and every block the sum of its different words' largest impacts."""
-        n = len(known)
-        cut = np.arange(0, n, half)
-        order = np.argsort(known, kind="stable")
-        same = np.flatnonzero(known[order[1:]] == known[order[:-1]])
-        before = np.full(n, -1)
-        before[order[same + 1]] = order[same]
-        begin = np.arange(n) // half * half
-        impact = self.bounds[known]
-        first = np.add.reduceat(np.where((before < begin)[:, None], impact, 0), cut, axis=0)
-        second = np.add.reduceat(np.where((before < begin - half)[:, None], impact, 0), cut, axis=0)
-        if len(cut) == 1:
-            return cut, first
-        return cut[:-1], first[:-1] + second[1:]
-
-    def above(self, words: list[bytes], threshold: float) -> list[tuple[int, int, float]]:
-        """First word of the passage, item and score of every passage and item that reach the threshold. Only blocks whose bound reaches it are scored."""
-        if not words or not self.blocks:
-            return []
-        known = np.fromiter(map(self.terms.get, words, itertools.repeat(self.unknown)), np.int64, len(words))
-        half = max(32, self.longest)
-        out = []
-        for s in range(0, len(words), STRIDE * half):  # long texts a part at a time, which ends half a passage into the next
-            if s and len(words) - s <= half:
-                break
-            starts, bounds = self.passages(known[s : s + (STRIDE + 1) * half], half)
-            for p, b in zip(*np.nonzero(bounds >= threshold), strict=True):
-                a = s + int(starts[p])
-                terms = np.unique(known[a : a + 2 * half])
-                found = self.scores(int(b), terms[terms < self.unknown])
-                out += [(a, int(b) * self.block + int(i), float(found[i])) for i in np.flatnonzero(found >= threshold)]
-        return out
+    def candidates(self, owner: np.ndarray, term: np.ndarray, n: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Passages (of n) and blocks that can reach the threshold, for passages' different terms: block-max WAND over all passages in step.
+
+        A passage's cursors, one a term, stand at the next block that holds the term. With cursors in order of their blocks, the pivot is the block
+        at which the terms' largest impacts of all first add up to the threshold: no block before it can reach it, so cursors skip
+        there. The pivot's own largest impacts then say whether its items are scored. Cursors move past it, and a passage without pivot is done.
+        """
+        at = np.zeros(n, np.int64)
+        number = np.arange(n)
+        width = self.blocks + 1
+        while len(number):
+            cursor = self.next[term, at[owner]]
+            reach = np.bincount(owner * width + cursor, self.largest[term], minlength=len(number) * width).reshape(-1, width)[:, :-1].cumsum(axis=1)
+            there = reach >= threshold
+            going = there[:, -1]
+            pivot = there.argmax(axis=1)
+            # Passages without a pivot leave; the others are numbered anew.
+            place = np.cumsum(going) - 1
+            keep = going[owner]
+            owner, term = place[owner[keep]], term[keep]
+            number, pivot = number[going], pivot[going]
+            bound = np.bincount(owner, self.bounds[term, pivot[owner]], minlength=len(number))
+            hit = bound >= threshold
+            yield number[hit], pivot[hit]
+            going = pivot + 1 < self.blocks
+            place = np.cumsum(going) - 1
+            keep = going[owner]
+            owner, term = place[owner[keep]], term[keep]
+            number, at = number[going], pivot[going] + 1
+
+    def search(self, lists: list[list[bytes]], threshold: float) -> Iterator[tuple[int, int, int, float]]:
+        """Text, first word of the passage, item and score of every passage and item that reach the threshold.
+
+        Passages are windows of two halves, half a window apart; a last one may be shorter, and a text of up to a half is one.
+        """
+        half, blocks = self.half, self.blocks
+        if not blocks:
+            return
+        size = np.array([len(w) for w in lists])
+        starts = np.cumsum(size) - size
+        known = np.fromiter(map(self.terms.get, itertools.chain.from_iterable(lists), itertools.repeat(-1)), np.int64, int(size.sum()))
+        # Passages of each text, numbered through; the half that a word is in belongs to the passage it opens and to the one before.
+        passages = np.maximum(1, -(-size // half) - 1) * (size > 0)
+        first = np.cumsum(passages) - passages
+        text = np.repeat(np.arange(len(lists)), size)
+        place = (np.arange(len(known)) - starts[text]) // half
+        here = np.flatnonzero(known >= 0)
+        opens, follows = here[place[here] < passages[text[here]]], here[place[here] > 0]
+        owner = np.concatenate([first[text[opens]] + place[opens], first[text[follows]] + place[follows] - 1])
+        pairs = np.unique(owner * self.unknown + known[np.concatenate([opens, follows])])
+        owner, term = pairs // self.unknown, pairs % self.unknown
+        ends = np.searchsorted(owner, np.arange(int(passages.sum()) + 1))
+        of = np.repeat(np.arange(len(lists)), passages)
+        for hits, at in self.candidates(owner, term, int(passages.sum()), threshold):
+            for p, b in zip(hits.tolist(), at.tolist(), strict=True):
+                found = self.scores(b, term[ends[p] : ends[p + 1]])
+                for i in np.flatnonzero(found >= threshold).tolist():
+                    yield int(of[p]), (p - int(first[of[p]])) * half, b * self.block + i, float(found[i])
 
     def overlap(self, item: int, words: list[bytes]) -> tuple[float, float]:
         """Parts of the question's and of the answer's word shingles that the words hold; 1 for a part without words."""
@@ -134,19 +178,54 @@ class Index:
             out.append(len(have & there) / len(have) if have else 1.0)
         return out[0], out[1]
 
-    def leaks(self, text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float, float, float]]:
-        """item, first word of the passage, score, question's and answer's overlap, for each item the best of the document's passages.
+    def leaks(self, lists: list[list[bytes]], threshold: float = THRESHOLD) -> list[list[tuple[int, int, float, float, float]]]:
+        """For each text (its words) item, first word of the passage, score, question's and answer's overlap: for each item the best of the text's passages.
 
         Passages are windows of twice the longest item's words, half a window apart, so an item's copy lies whole in one.
         """
-        words = split_words(text)
-        best: dict[int, tuple[int, int, float, float, float]] = {}
-        for a, item, score in self.above(words, threshold):
-            q, r = self.overlap(item, words[a : a + 2 * max(32, self.longest)])
-            row = (self.ids[item], a, score, q, r)
-            if item not in best or (min(q, r), score, -a) > (min(best[item][3:]), best[item][2], -best[item][1]):
-                best[item] = row
-        return [best[i] for i in sorted(best)]
+        best: list[dict[int, tuple[int, int, float, float, float]]] = [{} for _ in lists]
+        for t, a, item, score in self.search(lists, threshold):
+            q, r = self.overlap(item, lists[t][a : a + 2 * self.half])
+            row, old = (self.ids[item], a, score, q, r), best[t].get(item)
+            if old is None or (min(q, r), score, -a) > (min(old[3:]), old[2], -old[1]):
+                best[t][item] = row
+        return [[b[i] for i in sorted(b)] for b in best]
+
+
+def in_portions(lists: list[list[bytes]], size: int = WORDS) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Consecutive texts of about size words together, and the number of the first."""
+    a = n = 0
+    for k, words in enumerate(lists):
+        n += len(words)
+        if n >= size or k + 1 == len(lists):
+            yield a, lists[a : k + 1]
+            a, n = k + 1, 0
+
+
+POSTINGS = "id long, word binary, length long"
+
+
+def post(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = common.arrow_schema(POSTINGS)
+    for batch in it:
+        rows = [(i, w, len(words)) for i, t in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True) for words in [split_words(t)] for w in set(words)]
+        yield common.batches({"id": [r[0] for r in rows], "word": [r[1] for r in rows], "length": [r[2] for r in rows]}, schema)
+
+
+def indexes(benchmark: DataFrame, items: int) -> Iterator[Index]:
+    """Indexes of at most ``items`` items each, under the statistics of the whole benchmark. The driver holds one index's items and words at a time."""
+    postings = common.table(benchmark.mapInArrow(post, POSTINGS), "postings")
+    lengths = postings.groupBy("id").agg(F.first("length").alias("length"))
+    of = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
+    # Items in order of their lengths, two numbers each, are one task's: a benchmark is a set of tests and not a corpus.
+    part = F.floor((F.row_number().over(Window.orderBy("length", "id")) - 1) / items).cast("int")
+    parts = common.table(lengths.select("id", part.alias("part")), "parts")
+    frequency = common.table(postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "frequency")
+    for k in range(-(-of["n"] // items)):
+        mine = parts.where(F.col("part") == k).select("id")
+        got = benchmark.join(mine, "id").select("id", "t").orderBy("id").toArrow()
+        words = frequency.join(postings.join(mine, "id", "left_semi").select("word").distinct(), "word").toArrow()
+        yield Index(got["id"].to_pylist(), common.texts(got["t"].combine_chunks()), Statistics(of["n"], of["mean"], of["longest"], dict(zip(words["word"].to_pylist(), words["n"].to_pylist(), strict=True))))
 
 
 FOUND = "doc_id long, item_id long, passage long, score double, question double, answer double, leak boolean"
@@ -158,31 +237,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRE
     Scores count a passage's different words and are parts of the item's own. A pair is a leak if the passage holds ``overlap`` or more of
     the five-word shingles of both the item's question and its answer.
 
-    The benchmark is indexed in parts of at most ``items`` items, each broadcast by itself and met by every document; nothing is shuffled.
-    Null or wordless items and texts match nothing; rows with a null id are left out; repeated documents are searched each, of
+    The benchmark is indexed in parts of at most ``items`` items, under statistics of the whole, so scores don't depend on the parts. A pass
+    over the documents splits each once and searches as many parts as a broadcast may hold (INDEXES); nothing of the documents is shuffled.
+    Bytes that are not UTF-8 read as U+FFFD. Null or wordless items and texts match nothing; rows with a null id are left out; repeated documents are searched each, of
     items that repeat an id the first by text stays. Empty tables give an empty result. Extra columns are not read.
     """
     spark = docs.sparkSession
     bench = common.one_each(benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("t")).where(F.col("t").isNotNull()), "id", order="t")
-    n = bench.count()
-    parts = max(1, -(-n // items))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    out = None
-    for k in range(parts):
-        held = bench if parts == 1 else bench.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)
-        got = held.orderBy("id").collect()
-        index = spark.sparkContext.broadcast(Index([r["id"] for r in got], [r["t"] for r in got]))
+    out = spark.createDataFrame([], FOUND)
+    for held in itertools.batched(indexes(bench, items), INDEXES):
+        shared = spark.sparkContext.broadcast(held)  # at most ITEMS * INDEXES items
 
-        def run(it: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             schema = common.arrow_schema(FOUND)
             for batch in it:
-                found: dict[str, list] = {f.name: [] for f in schema}
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for item, a, score, q, r in index.value.leaks(text.as_py() or "", threshold):
-                        for name, value in zip(found, (key, item, a, score, q, r, q >= overlap and r >= overlap), strict=True):
-                            found[name].append(value)
-                yield common.batches(found, schema)
-
-        part = rows.mapInArrow(run, FOUND)
-        out = part if out is None else out.unionByName(part)
+                found: list[tuple] = []
+                keys = batch.column(0).to_pylist()
+                for a, lists in in_portions([split_words(t) for t in common.texts(batch.column(1))]):
+                    for index in shared.value:
+                        for k, leaks in enumerate(index.leaks(lists, threshold), a):
+                            found += [(keys[k], item, p, score, q, r, q >= overlap and r >= overlap) for item, p, score, q, r in leaks]
+                yield common.batches({f.name: [x[c] for x in found] for c, f in enumerate(schema)}, schema)
+
+        out = out.unionByName(rows.mapInArrow(run, FOUND))
     return out

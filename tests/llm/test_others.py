@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -143,6 +144,23 @@ def test_packing_round_trip(spark):
     assert sorted(by_seq) == list(range(len(by_seq)))
 
 
+def test_solver_places_most_pieces():
+    r = np.random.default_rng(4)
+    lengths = np.minimum(255, np.maximum(1, r.lognormal(3, 1, 20_000).astype(int)))
+    histogram = np.bincount(lengths - 1, minlength=256)
+    left = histogram.copy()
+    packing.solved(left)
+    assert (left >= 0).all() and left.sum() < 0.05 * histogram.sum()
+    assert sum(n for _, n in packing.plan(histogram)) * 256 < 1.02 * (histogram * np.arange(1, 257)).sum()
+
+
+def test_short_pieces_are_bundled(spark):
+    docs = frame(spark, [""] * 3000 + ["a"] * 1000 + ["b c"] * 500)
+    got = packing.pack(docs, P.path("word_bpe_49k.json")).collect()
+    assert len(got) == 4500 and len({x["sequence_id"] for x in got}) == 2
+    assert packing.pack(docs.limit(0), P.path("word_bpe_49k.json")).collect() == []
+
+
 def test_plan_uses_every_piece_once():
     r = np.random.default_rng(1)
     for _ in range(5):
@@ -159,7 +177,8 @@ def test_plan_uses_every_piece_once():
 
 
 def test_leaks_are_found_and_scores_are_bm25(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "STRIDE", 3)
+    monkeypatch.setattr(decontaminate, "WORDS", 500)
+    monkeypatch.setattr(decontaminate, "BLOCK", 2)
     items = [" ".join(s.capitalize() for s in prose(k, 1, 60)) + ". " + " ".join(prose(100 + k, 1, 12)) + "." for k in range(30)]
     texts = prose(8, 60, 400) + [None, ""]
     planted = {i: (i * 7) % 30 for i in range(0, 60, 4)}
@@ -167,33 +186,60 @@ def test_leaks_are_found_and_scores_are_bm25(spark, monkeypatch):
         texts[d] += " " + items[i] + " " + prose(900 + d, 1, 300)[0]
     bench = spark.createDataFrame([*enumerate(items), (99, None), (None, "x y"), (98, " ...")], "item_id long, text string")
     got = decontaminate.find_leaks(frame(spark, texts), bench).collect()
-    long_enough = {d: i for d, i in planted.items() if len(decontaminate.split_words(items[i])) >= 5}
-    assert {(x["doc_id"], x["item_id"]) for x in got if x["leak"]} >= set(long_enough.items())
-    parts = decontaminate.find_leaks(frame(spark, texts), bench, items=7).where("leak").select("doc_id", "item_id").collect()
-    assert {tuple(x) for x in parts} >= set(long_enough.items())
+    def overlap(part, words):
+        """Part of a list's five-word runs, or of its whole if shorter, that the words hold."""
+        size = min(5, len(part))
+        runs = lambda w: {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if size else set()
+        return len(runs(part) & runs(words)) / len(runs(part)) if part else 1.0
+
+    wordy = {i: decontaminate.split_words(t) for i, t in enumerate(items)}
+    half = max(32, *map(len, wordy.values()))
+    frequency = Counter(w for v in wordy.values() for w in set(v))
+    mean = sum(map(len, wordy.values())) / len(wordy)
+
+    def score(i, held):
+        weight = {w: math.log(1 + (30 - frequency[w] + 0.5) / (frequency[w] + 0.5)) * wordy[i].count(w) * 2.2 / (wordy[i].count(w) + 1.2 * (0.25 + 0.75 * len(wordy[i]) / mean)) for w in set(wordy[i])}
+        return sum(x for w, x in weight.items() if w in held) / sum(weight.values())
+
+    want = {}
+    for d, t in enumerate(texts):
+        words = decontaminate.split_words(t or "")
+        for a in range(0, max(1, len(words) - half), half):
+            passage = words[a : a + 2 * half]
+            for i in range(30):
+                if words and score(i, set(passage)) >= 0.6:
+                    sentences = [w for x in re.split(r"(?<=[.!?])\s+", items[i].strip()) if (w := decontaminate.split_words(x))]
+                    q, r = overlap([w for x in sentences[:-1] for w in x], passage), overlap(sentences[-1], passage)
+                    want[d, i] = want.get((d, i), False) or (q >= 0.8 and r >= 0.8)
+    assert {(x["doc_id"], x["item_id"]): x["leak"] for x in got} == want
+    assert {d for (d, _), leak in want.items() if leak} >= planted.keys() and not all(want.values())
+    parts = decontaminate.find_leaks(frame(spark, texts), bench, items=7).collect()
+    assert sorted((x["doc_id"], x["item_id"], round(x["score"], 9), x["leak"]) for x in parts) == sorted((x["doc_id"], x["item_id"], round(x["score"], 9), x["leak"]) for x in got)
     index = decontaminate.Index(list(range(30)), items)
-    half = max(32, index.longest)
-    vocabulary = [decontaminate.split_words(i) for i in items]
-    mean = sum(map(len, vocabulary)) / 30
-    frequency = Counter(w for v in vocabulary for w in set(v))
-
-    def impact(word, item):
-        tf, idf = vocabulary[item].count(word), math.log(1 + (30 - frequency[word] + 0.5) / (frequency[word] + 0.5))
-        return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(vocabulary[item]) / mean))
-
-    own = [sum(impact(w, i) for w in set(vocabulary[i])) for i in range(30)]
-    for t in [x for x in texts if x][:25]:
-        words = decontaminate.split_words(t)
-        for threshold in (0.2, 0.6):
-            want = {}
-            for a in range(0, max(1, len(words) - half), half):
-                held = set(words[a : a + 2 * half])
-                for i in range(30):
-                    score = sum(impact(w, i) for w in held & set(vocabulary[i])) / own[i]
-                    if score >= threshold:
-                        want[a, i] = score
-            got_ = {(a, index.ids[i]): x for a, i, x in index.above(words, threshold)}
-            assert got_.keys() == want.keys() and all(abs(got_[k] - want[k]) < 1e-9 for k in got_)
+    lists = [decontaminate.split_words(x) for x in texts if x][:25]
+    for threshold in (0.2, 0.6):
+        scored = {(k, a, i): score(i, set(w[a : a + 2 * half])) for k, w in enumerate(lists) for a in range(0, max(1, len(w) - half), half) for i in range(30)}
+        found = {(k, a, index.ids[i]): x for k, a, i, x in index.search(lists, threshold)}
+        assert found.keys() == {k for k, x in scored.items() if x >= threshold} and all(abs(x - scored[k]) < 1e-9 for k, x in found.items())
+
+
+def test_blocks_are_skipped():
+    items = [f"alpha beta gamma delta number{k} mark{k} sign{k}" for k in range(64)]
+    index = decontaminate.Index(list(range(64)), items)
+    seen = []
+    index.scores = lambda b, terms, f=index.scores: seen.append(b) or f(b, terms)
+    words = "alpha beta gamma delta number9 mark9 sign9 and more".split()
+    assert [x[2] for x in index.search([[w.encode() for w in words]], 0.9)] == [index.ids.index(9)]
+    assert seen == [index.ids.index(9) // index.block]
+
+
+def test_empty_benchmark_and_odd_rows(spark):
+    docs = frame(spark, ["a b c d e f", None, "a b c d e f"], [1, None, 1])
+    bench = spark.createDataFrame([(1, "a b c d e f"), (1, "x y"), (None, "z"), (2, None)], "item_id long, text string")
+    assert decontaminate.find_leaks(docs, bench.limit(0)).collect() == []
+    assert decontaminate.find_leaks(docs.limit(0), bench).collect() == []
+    got = decontaminate.find_leaks(docs, bench).collect()
+    assert [(x["doc_id"], x["item_id"], x["leak"]) for x in got] == [(1, 1, True)] * 2
 
 
 # ---------------------------------------------------------------- 7
@@ -296,5 +342,35 @@ def test_quality_on_held_out_documents(spark):
     assert quality.classify(docs.limit(0), labels).collect() == []
 
 
+def test_host_and_path_posteriors_are_brute_force(spark):
+    r = random.Random(8)
+    texts = prose(13, 400, 60)
+    rows = [(i, t + " vile rotten filth vile" * (r.random() < 0.15 + 0.5 * (i % 4 == 1)), None if i % 50 == 7 else f"h{i % 4}", None if i % 31 == 0 else f"p{i % 3}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, 1, int("vile rotten filth" in t)) for i, t, _, _ in rows if i % 2], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in quality.classify(docs, labels).collect()}
+    p = {i: 1 - (1 - x["p_low"]) * (1 - x["p_toxic"]) for i, x in got.items()}
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for i, _, h, q in rows:
+        paths[h, q].append(p[i])
+        hosts[h].append(p[i])
+    rate = sum(p.values()) / len(p)
+
+    def weight(sites, around):
+        over = sum(len(x) * (np.mean(x) - around(k)) ** 2 for k, x in sites.items()) - rate * (1 - rate) * len(sites)
+        return min(10_000, max(10, rate * (1 - rate) * len(p) / over - 1)) if over > 0 else 10_000
+
+    k_host = weight(hosts, lambda h: rate)
+    host_rate = {h: (sum(x) + k_host * rate) / (len(x) + k_host) for h, x in hosts.items()}
+    k_path = weight(paths, lambda k: host_rate[k[0]])
+    logit = lambda x: math.log(x / (1 - x))
+    for i, _, h, q in rows:
+        own = min(1 - 1e-4, max(1e-4, (sum(paths[h, q]) - p[i] + k_path * host_rate[h]) / (len(paths[h, q]) - 1 + k_path)))
+        assert abs(got[i]["host_rate"] - host_rate[h]) < 1e-9 and abs(got[i]["path_rate"] - own) < 1e-9
+        moved = max(1 / (1 + math.exp(-(logit(min(1 - 1e-13, max(1e-13, got[i][c]))) + logit(own) - logit(rate)))) for c in ("p_low", "p_toxic"))
+        assert abs(got[i]["p_fault"] - moved) < 1e-6 and got[i]["keep"] == (got[i]["p_fault"] < 0.5)
+    assert len({round(x, 6) for x in host_rate.values()}) > 2
+
+
 def test_words():
     assert decontaminate.split_words("A1_b «Été» x—y\xa0z") == [b"a1", b"b", "été".encode(), b"x", b"y", b"z"]
