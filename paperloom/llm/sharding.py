@@ -11,6 +11,8 @@ SHARDS = 24
 SEED = 20_240_917
 #: UTF-8 bytes of text that a bucket holds on average.
 BUCKET_BYTES = 8 << 20
+#: Buckets that one task shuffles, one after the other; buckets whose offsets are summed in one task.
+TOGETHER, RANGE = 8, 4096
 
 
 def buckets_for(total_bytes: int, rows: int, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -30,19 +32,26 @@ def shuffle_into_shards(docs: DataFrame, *, shards: int = SHARDS, seed: int = SE
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    of = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    repeats = ids.where("n > 1").limit(1).count()
-    if repeats:
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    of = ids.agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.max("n").alias("most")).first()
+    if (of["most"] or 0) > 1:
         rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", F.pmod(F.xxhash64("text"), F.lit(64))).orderBy("text")))
     else:
         rows = rows.withColumn("copy", F.lit(1))
-    n = buckets_for(of["bytes"] or 0, of["rows"], bucket_bytes)
+    n = buckets_for(of["bytes"] or 0, of["rows"] or 0, bucket_bytes)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "copy"), F.lit(n)).cast("int"))
-    # The bucket table has n rows: the input's bytes over bucket_bytes, so for 100 TB some millions of numbers; its running sum fits one task.
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("ahead"))
-    # A fixed number of partitions, sorted: the generator behind shuffle() starts from its seed and the partition, so reruns give the same order.
-    mixed = rows.repartition(n, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "copy", "text")).alias("held"))
+    sizes = common.table(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
+    # Offsets are sums over ranges of buckets, of which the driver adds up one number each (for 100 TB some thousands), and within each range.
+    span = F.floor(F.col("bucket") / RANGE).cast("int")
+    before, ahead = [], 0
+    for r in sizes.groupBy(span.alias("span")).agg(F.sum("n").alias("n")).orderBy("span").collect():
+        before.append((r["span"], ahead))
+        ahead += r["n"]
+    starts = spark.createDataFrame(before, "span int, start long")
+    sizes = sizes.withColumn("span", span).join(F.broadcast(starts), "span")
+    sizes = sizes.select("bucket", (F.col("start") + F.sum("n").over(Window.partitionBy("span").orderBy("bucket")) - F.col("n")).alias("ahead"))
+    # The number of partitions follows from the data, and each is sorted: the generator behind shuffle() starts from its seed and the partition, so reruns give the same order.
+    mixed = rows.repartition(-(-n // TOGETHER), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "copy", "text")).alias("held"))
     mixed = mixed.select("bucket", F.array_sort("held").alias("held")).sortWithinPartitions("bucket")
     mixed = mixed.select("bucket", F.shuffle("held", F.lit(seed)).alias("held"))
     out = mixed.join(sizes, "bucket").select("bucket", "ahead", F.posexplode("held").alias("at", "row"))

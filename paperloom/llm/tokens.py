@@ -67,7 +67,7 @@ def allot(first: np.ndarray, last: np.ndarray, starts: np.ndarray, n_chars: int,
 def count_by_section(docs: DataFrame, tokenizer: str, pattern: str, *, rule: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each line of each document: its characters [start, stop), the tokens allotted to it, how many of them reach over its edge, and the document's tokens.
 
-    Rows are independent of each other, so nothing is shuffled. Null and empty texts have one empty section without tokens;
+    Rows are independent of each other, so nothing is shuffled. Null and empty texts have one empty section without tokens; bytes that are not UTF-8 read as U+FFFD;
     rows with null or repeated ids are counted like any other. Extra columns are not read.
     """
     if rule not in RULES:
@@ -78,8 +78,7 @@ def count_by_section(docs: DataFrame, tokenizer: str, pattern: str, *, rule: str
         schema = common.arrow_schema(SECTIONS)
         for batch in it:
             ids, out, rows = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
+            for key, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True):
                 starts = sections(text)
                 first, last = spans(text, enc, sizes)
                 n, over = allot(first, last, starts, len(text), rule)
