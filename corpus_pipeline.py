@@ -1,6 +1,8 @@
 """A corpus from documents: reject, deduplicate, decontaminate, pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents.
+Filtering stages return each id once: rows without an id go, and of rows that repeat one the first by text stays. Null and empty
+texts are documents like others. An empty table gives an empty result. Columns besides those of documents are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,28 +16,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """The documents that the operators see: those with an id, of rows that repeat one the first by text."""
+    """The documents that a stage sees: those with an id; of rows that repeat one the first by text, nulls last."""
     return common.one_each(docs.select(*COLUMNS), "doc_id", order="text")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    verdicts = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the quality classifier does not reject. Null and empty texts get the base rates; without labels nothing is rejected."""
+    rows = _rows(docs)
+    verdicts = quality.classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), unique_ids=True)
     rejected = common.table(verdicts.where(~F.col("keep")).select("doc_id"), "rejected")
-    return _rows(docs).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates."""
-    found = jaccard.join(docs)
+    """The document with the smallest id of each component of near duplicates. Documents without words are linked with nothing and stay."""
+    rows = _rows(docs)
+    found = jaccard.join(rows, unique_ids=True)
     gone = common.table(found.where("component_id <> doc_id").select("doc_id"), "gone")
-    return _rows(docs).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings of 100 that occur earlier; untouched ones as they were. Parts of characters that a cut leaves behind go, and so do documents of which nothing but white space is left."""
-    kept = suffix.dedup(docs).select("doc_id", "n_removed", suffix.whole_characters(F.col("kept")).alias("rest"))
-    rows = _rows(docs).select("doc_id", F.col("text").isNull().alias("was_null"), "lang", "source", F.col("n_chars").alias("chars_before"))
+    docs = _rows(docs)
+    kept = suffix.dedup(docs, unique_ids=True).select("doc_id", "n_removed", suffix.whole_characters(F.col("kept")).alias("rest"))
+    rows = docs.select("doc_id", F.col("text").isNull().alias("was_null"), "lang", "source", F.col("n_chars").alias("chars_before"))
     text = F.when(~F.col("was_null"), F.col("rest"))
     chars = F.when(F.col("n_removed") == 0, F.col("chars_before")).otherwise(F.length(text).cast("long"))
     out = kept.join(rows, "doc_id").select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"), "n_removed")
@@ -43,14 +48,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage that holds the question and answer of a benchmark item."""
-    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents without a passage that holds the question and answer of a benchmark item. Null and empty texts stay; an empty benchmark leaves all."""
+    rows = _rows(docs)
+    found = decontaminate.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaks = common.table(found.where("leak").select("doc_id").distinct(), "leaks")
-    return _rows(docs).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and the sequences that hold them."""
+    """Pieces of documents and the sequences that hold them: of every row it gets, a null text as its end id alone."""
     return packing.pack(docs, registry.tokenizer_path("word_bpe_49k.json"))
 
 
