@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
 
 
-def is_heading() -> Column:
-    """A paragraph (text, size, bold, alignment) that looks like a heading."""
-    return (X.strip(F.col("text")) != "") & F.col("bold") & (F.col("size") >= S.HEADING_MIN_PT) & (F.coalesce("alignment", F.lit("")) != "justify")
+def looks_like_heading() -> Column:
+    """Whether a paragraph with text (size, bold, alignment) is set like a heading."""
+    return F.col("bold") & (F.col("size") >= S.HEADING_MIN_PT) & (F.coalesce("alignment", F.lit("")) != "justify")
 
 
 def heading_levels(paragraphs: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """doc_id, seq, level of the headings of documents in which they are at most half of the paragraphs with text.
 
     Sizes of a document's headings rank from the largest, the fourth and later being level 4. ``levels`` (doc_id, key, level), where given, goes
-    before: the level of the heading with the same text but for white space.
+    before: the level of the heading with the same text but for white space. One aggregate by document gathers counts and headings, without their texts.
     """
-    rows = paragraphs.where(X.strip(F.col("text")) != "").withColumn("heading", F.coalesce(is_heading(), F.lit(False)))
-    share = rows.groupBy("doc_id").agg(F.count_if("heading").alias("h"), F.count(F.lit(1)).alias("n")).where((F.col("h") > 0) & (F.col("h") <= F.col("n") * S.HEADING_FRACTION))
-    heads = rows.where("heading").join(share.select("doc_id"), "doc_id", "left_semi")
-    sizes = heads.select("doc_id", "size").distinct()
-    ranked = sizes.withColumn("rank", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))
-    out = heads.join(ranked, ["doc_id", "size"])
+    key = X.fingerprint(F.col("text")) if levels is not None else F.lit(None).cast("string")
+    rows = paragraphs.where(X.strip(F.col("text")) != "").select("doc_id", "seq", "size", F.coalesce(looks_like_heading(), F.lit(False)).alias("heading"), key.alias("key"))
+    held = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("heading"), F.struct("seq", "size", "key"))).alias("heads"))
+    held = held.where((F.size("heads") > 0) & (F.size("heads") <= F.col("n") * S.HEADING_FRACTION))
+    sizes = F.array_distinct(F.transform("heads", lambda h: h["size"]))
+    out = held.select("doc_id", sizes.alias("sizes"), F.explode("heads").alias("h")).select("doc_id", "h.seq", "h.key", F.size(F.filter("sizes", lambda x: x >= F.col("h.size"))).alias("rank"))
     level = F.col("rank")
     if levels is not None:
-        out = out.withColumn("key", X.fingerprint(F.col("text"))).join(levels.select("doc_id", "key", F.col("level").alias("known")), ["doc_id", "key"], "left")
+        out = out.join(levels.select("doc_id", "key", F.col("level").alias("known")), ["doc_id", "key"], "left")
         level = F.coalesce("known", "rank")
     return out.select("doc_id", "seq", F.least(F.lit(S.HEADING_LEVELS), level).cast("int").alias("level"))
 

@@ -80,17 +80,26 @@ def orphans(files: DataFrame, jobs: DataFrame, cutoff: float) -> DataFrame:
     return files.join(uploads(jobs).withColumnRenamed("upload_path", "path"), "path", "left_anti").where(F.col("modified") < cutoff)
 
 
-def watch_limits(jobs: DataFrame, phases: DataFrame, now: float) -> DataFrame:
-    """Per group (or single job): last heartbeat of any member, whether all active members are to be cancelled, whether one saves, the idle limit, the verdict."""
-    key = F.coalesce("group_id", F.concat(F.lit("job:"), F.col("id")))
-    p = phases.select(F.col("job_id").alias("id"), F.col("message").alias("phase"))
-    rows = jobs.join(p, "id", "left").groupBy(key.alias("watched")).agg(
+def watch_limits(jobs: DataFrame, progress: DataFrame, now: float, stopping: bool = False) -> DataFrame:
+    """Per group (or single job): last heartbeat of any member, whether all members at work are to be cancelled and since when, whether one saves, the idle limit, the verdict.
+
+    At work are the claimed member (``claimed``, where the table has it) and those that have not ended. ``cancel_at`` is when a member's cancel was first seen;
+    a group is cancelled when the last of these is longer ago than the grace, and until then it may still time out. A stop of the whole worker goes before both.
+    """
+    key = F.coalesce(F.when(F.col("group_id") != "", F.col("group_id")), F.concat(F.lit("job:"), F.col("id")))
+    jobs = S.evolve(jobs, S.WATCHED, {"claimed": False})
+    at_work = F.coalesce("claimed", F.lit(False)) | ~is_terminal()
+    phases = S.evolve(progress, S.PROGRESS).select(F.col("job_id").alias("id"), F.col("status").alias("phase"))
+    rows = jobs.join(phases, "id", "left").groupBy(key.alias("watched")).agg(
         F.max("heartbeat_at").alias("last_heartbeat"),
-        F.coalesce(F.bool_and(F.when(~is_terminal(), F.col("status") == "cancel_requested")), F.lit(False)).alias("all_cancelled"),
-        F.coalesce(F.bool_or(F.col("phase").isin(*S.SAVE_PHASES, "view")), F.lit(False)).alias("in_save"),
+        F.coalesce(F.bool_and(F.when(at_work, F.col("status") == "cancel_requested")), F.lit(False)).alias("all_cancelled"),
+        F.max(F.when(at_work, F.col("cancel_at"))).alias("cancel_at"),
+        F.coalesce(F.bool_or(F.col("phase").isin(*S.SAVE_PHASES)), F.lit(False)).alias("in_save"),
     )
     limit = F.when(F.col("in_save"), S.SAVE_IDLE_S).otherwise(S.IDLE_S)
-    return rows.withColumn("idle_limit", limit).withColumn("verdict", F.when(F.col("all_cancelled"), "CANCELLED").when(F.lit(now) - F.col("last_heartbeat") > F.col("idle_limit"), "TIMEOUT"))
+    cancelled = F.col("all_cancelled") & (F.lit(now) - F.col("cancel_at") > S.CANCEL_GRACE_S)
+    verdict = F.when(F.lit(stopping), "DRAIN").when(cancelled, "CANCELLED").when(F.lit(now) - F.col("last_heartbeat") > F.col("idle_limit"), "TIMEOUT")
+    return rows.withColumn("idle_limit", limit).withColumn("verdict", verdict)
 
 
 def healthy(heartbeats: DataFrame, now: float) -> DataFrame:
@@ -211,6 +220,15 @@ def collect_garbage(jobs: DataFrame, progress: DataFrame, now: float, age: float
     return remove(jobs, progress, expired(jobs, now - age).select("id"))
 
 
+def write_progress(jobs: DataFrame, progress: DataFrame, new: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the progress of jobs (id, current, total, status, message) in place of what there was; each such job has shown life now."""
+    at = F.lit(float(now))
+    rows = new.select(F.col("id").alias("job_id"), "current", "total", percent(F.col("current"), F.col("total")).alias("percent"), "status", "message", at.alias("updated_at"))
+    progress = S.evolve(progress, S.PROGRESS).join(rows.select("job_id"), "job_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+    jobs = S.evolve(jobs, S.JOBS).join(new.select(F.col("id").alias("_hit")).distinct(), F.col("id") == F.col("_hit"), "left")
+    return _set(jobs, F.col("_hit").isNotNull(), heartbeat_at=at, updated_at=at).drop("_hit"), progress
+
+
 def finish(jobs: DataFrame, results: DataFrame, now: float) -> DataFrame:
     """Jobs with a result (id, download_id, result struct) are done."""
     r = results.select(F.col("id").alias("_hit"), F.col("download_id").alias("_d"), F.to_json("result").alias("_r"))

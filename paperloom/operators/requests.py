@@ -24,11 +24,21 @@ def validate(requests: DataFrame) -> DataFrame:
     return out.withColumn("problem", error.when((F.col("engine") != "auto") & ~F.array_contains("mode_list", "markdown"), "engine_requires_markdown_mode"))
 
 
-def preflight(content: Column) -> Column:
-    """not_pdf, encrypted_pdf or empty_pdf, null for a file that may be converted; the marks are read from the head and the last 64 KiB."""
-    tail = F.decode(F.substring(content, F.greatest(F.lit(1), F.length(content) - 65535), F.lit(65536)), "ISO-8859-1")
-    head = F.decode(F.substring(content, 1, 5), "ISO-8859-1")
-    return F.when(F.length(content) == 0, "empty_pdf").when(head != "%PDF-", "not_pdf").when(tail.rlike(r"/Encrypt\s*(<<|\d+\s+\d+\s+R)"), "encrypted_pdf")
+def preflight(content: Column, size: Column | None = None, most: int = S.PARSED_BYTES) -> Column:
+    """not_pdf, encrypted_pdf, invalid_pdf or empty_pdf, null for a file that may be converted.
+
+    The first five bytes come first: a file without the mark is not a PDF, an empty one neither. A file of over ``most`` bytes is taken
+    unless the last 64 KiB name an encryption dictionary. A smaller one is looked at as a whole: without a catalogue it is invalid, and it is empty where
+    its page trees, all in plain objects, count no page. A file that can't be read (null) is invalid.
+    """
+    size = F.length(content) if size is None else size
+    latin = lambda x: F.decode(x, "ISO-8859-1")
+    encrypted = r"/Encrypt\s*(?:<<|\d+\s+\d+\s+R)"
+    head, tail, whole = latin(F.substring(content, 1, 5)), latin(F.substring(content, F.greatest(F.lit(1), F.length(content) - S.TAIL_BYTES + 1), F.lit(S.TAIL_BYTES))), latin(content)
+    plain_tree = whole.rlike(r"/Type\s*/Pages\b") & ~whole.rlike(r"/Type\s*/ObjStm\b")
+    reason = F.when(content.isNull(), "invalid_pdf").when(head != "%PDF-", "not_pdf")
+    reason = reason.when(size > most, F.when(tail.rlike(encrypted), "encrypted_pdf"))
+    return reason.when(whole.rlike(encrypted), "encrypted_pdf").when(~whole.rlike(r"/Root\s*\d+\s+\d+\s+R"), "invalid_pdf").when(plain_tree & ~whole.rlike(r"/Type\s*/Page\b"), "empty_pdf")
 
 
 def skip_reason() -> Column:
@@ -56,14 +66,30 @@ def fan_out(files: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("-", F.col("file_id").cast("string"), "mode").alias("id"), group.alias("group_id"), "mode", "filename", "locale", F.when(F.col("mode") == "markdown", F.col("engine")).otherwise("auto").alias("engine"), F.lit("queued").alias("status"))
 
 
-def zip_budget(files: DataFrame, cap: int = S.ZIP_CAP) -> DataFrame:
-    """Files (folder, name, size) but .docx in name order with the running total of their folder, and whether that is over the cap."""
+def zip_budget(files: DataFrame, cap: int = S.ZIP_CAP, upload_cap: int | None = None) -> DataFrame:
+    """Files (folder, name, size) but .docx in name order with the running total of their folder, and whether that is over the cap, or over that of uploads if it is less."""
+    most = cap if upload_cap is None else min(cap, upload_cap)
     w = Window.partitionBy("folder").orderBy("name").rowsBetween(Window.unboundedPreceding, 0)
-    return files.where(~F.lower("name").endswith(".docx")).select("folder", "name", "size", F.sum("size").over(w).alias("running")).withColumn("too_large", F.col("running") > cap)
+    return files.where(~F.lower("name").endswith(".docx")).select("folder", "name", "size", F.sum("size").over(w).alias("running")).withColumn("too_large", F.col("running") > most)
+
+
+def archived_name(name: Column, download_id: Column, original: Column) -> Column:
+    """The name of a file in its archive: under a folder named after the original, where the main Markdown has the original's name too."""
+    base = X.download_name(X.stem(original))
+    return F.concat(base, F.lit("-markdown/"), F.when(name == F.concat(download_id, F.lit(".md")), F.concat(base, F.lit(".md"))).otherwise(name))
+
+
+def is_image(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*S.IMAGE_SUFFIXES)
 
 
 def images(files: DataFrame) -> DataFrame:
-    return files.where(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin(*S.IMAGE_SUFFIXES))
+    return files.where(is_image(F.col("name")))
+
+
+def image_counts(files: DataFrame) -> DataFrame:
+    """folder and its number of image files."""
+    return files.groupBy("folder").agg(F.count_if(is_image(F.col("name"))).alias("images"))
 
 
 def merged_markdown(parts: DataFrame) -> DataFrame:

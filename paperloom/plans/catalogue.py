@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,29 +10,20 @@ from ..functions import markup as M
 from ..functions import text as X
 from ..operators import headings, jobs, layout, messages, profile, requests
 from ..sources import fixtures
-from ..sources.fixtures import duck
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *tables: str):
-    """Register a query under its function's name, with its SQL over the derived tables."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = duck(sql, *tables) if tables else sql
-        return f
-
-    return add
+from .register import ORACLE, QUERIES, query
 
+__all__ = ["ORACLE", "QUERIES"]
 
 # Cut-offs come from the data: the last creation less fifteen days.
 SPAN = 86_400 * 15
 TERMINAL = "('done', 'error', 'cancelled')"
 
 
+def select_list(sql: str) -> list[str]:
+    """The items of SELECT items FROM table."""
+    return fixtures.items(sql[len("SELECT ") : sql.rindex(" FROM ")])
+
+
 def now_of(table: DataFrame) -> float:
     return float((table.agg(F.max("created_at")).first()[0] or 0.0) - SPAN)
 
@@ -143,11 +132,13 @@ def upload_refcounts(spark, sf_dir):
     return jobs.other_references(fixtures.jobs(spark, sf_dir))
 
 
-@query(f"SELECT path, max(created_at) AS modified FROM (SELECT concat('/u/', CAST(id AS BIGINT) % 5000, '.pdf') AS path, created_at FROM jobs) WHERE path NOT IN (SELECT upload_path FROM jobs) GROUP BY path HAVING max(created_at) < {NOW}", "jobs")
+UPLOAD = "concat('/u/', CAST(id AS BIGINT) % 5000, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN '.part' ELSE '.pdf' END)"
+
+
+@query(f"SELECT path, max(created_at) AS modified FROM (SELECT {UPLOAD} AS path, created_at FROM jobs) WHERE path NOT IN (SELECT upload_path FROM jobs) GROUP BY path HAVING max(created_at) < {NOW}", "jobs")
 def orphan_uploads(spark, sf_dir):
     table = fixtures.jobs(spark, sf_dir)
-    path = F.concat(F.lit("/u/"), (F.col("id").cast("long") % 5000).cast("string"), F.lit(".pdf"))
-    files = table.groupBy(path.alias("path")).agg(F.max("created_at").alias("modified"))
+    files = table.groupBy(F.expr(UPLOAD).alias("path")).agg(F.max("created_at").alias("modified"))
     return jobs.orphans(files, table, now_of(table))
 
 
@@ -181,16 +172,22 @@ def latest_progress(spark, sf_dir):
     return jobs.latest(fixtures.read(spark, sf_dir, "events").selectExpr("user_id as job", "event_id as seq", "event_type as message"), "job", "seq")
 
 
+#: What the watchdog sees: heartbeats and cancels some seconds before now, on both sides of the limits; of a pair the even member is claimed; progress with statuses.
+WATCHED = "SELECT *, CAST(id AS BIGINT) % 2 = 0 OR group_id IS NULL AS claimed, CAST(id AS BIGINT) % 41 AS cancelled_ago, CAST(id AS BIGINT) % 2411 AS beat_ago FROM jobs"
+PHASE = "CASE message WHEN 'view' THEN 'saving' WHEN 'click' THEN 'converting' ELSE 'processing' END"
+
+
 @query(
-    f"SELECT coalesce(group_id, concat('job:', id)) AS watched, max(heartbeat_at) AS last_heartbeat, coalesce(bool_and(CASE WHEN status NOT IN {TERMINAL} THEN status = 'cancel_requested' END), false) AS all_cancelled, "
-    f"coalesce(bool_or(message = 'view'), false) AS in_save, CASE WHEN coalesce(bool_or(message = 'view'), false) THEN 1800 ELSE 300 END AS idle_limit, "
-    f"CASE WHEN coalesce(bool_and(CASE WHEN status NOT IN {TERMINAL} THEN status = 'cancel_requested' END), false) THEN 'CANCELLED' WHEN {NOW} - max(heartbeat_at) > CASE WHEN coalesce(bool_or(message = 'view'), false) THEN 1800 ELSE 300 END THEN 'TIMEOUT' END AS verdict "
-    "FROM jobs LEFT JOIN progress ON id = job_id GROUP BY 1",
-    "jobs", "progress",
-)
+    f"WITH {fixtures.DUCK['jobs']}, {fixtures.DUCK['progress']}, w AS ({WATCHED}), r AS (SELECT coalesce(nullif(group_id, ''), concat('job:', id)) AS watched, CASE WHEN CAST(id AS BIGINT) % 7 > 0 THEN beat_ago END AS beat_ago, claimed OR status NOT IN {TERMINAL} AS at_work, status, cancelled_ago, {PHASE} AS phase FROM w LEFT JOIN progress ON id = job_id), "
+    "g AS (SELECT watched, min(beat_ago) AS beat_ago, count(*) FILTER (at_work) > 0 AND count(*) FILTER (at_work AND status <> 'cancel_requested') = 0 AS all_cancelled, min(cancelled_ago) FILTER (at_work) AS cancelled_ago, count(*) FILTER (phase IN ('saving', 'converting')) > 0 AS in_save FROM r GROUP BY watched) "
+    "SELECT watched, all_cancelled, in_save, CASE WHEN in_save THEN 1800 ELSE 300 END AS idle_limit, CASE WHEN all_cancelled AND cancelled_ago > 15 THEN 'CANCELLED' WHEN beat_ago > CASE WHEN in_save THEN 1800 ELSE 300 END THEN 'TIMEOUT' END AS verdict FROM g"
+)
 def watchdog_limits(spark, sf_dir):
-    table = fixtures.jobs(spark, sf_dir)
-    return jobs.watch_limits(table, fixtures.progress(spark, sf_dir), now_of(table))
+    now = 1_000_000.0
+    table = fixtures.jobs(spark, sf_dir).selectExpr("*", "cast(id as bigint) % 2 = 0 or group_id is null as claimed", f"{now} - cast(id as bigint) % 41 as cancel_at")
+    table = table.withColumn("heartbeat_at", F.expr(f"case when cast(id as bigint) % 7 > 0 then {now} - cast(id as bigint) % 2411 end"))
+    state = fixtures.progress(spark, sf_dir).withColumn("status", F.expr(PHASE))
+    return jobs.watch_limits(table, state, now).select("watched", "all_cancelled", "in_save", "idle_limit", "verdict")
 
 
 @query(f"SELECT max(age) < 30 AS alive, CASE WHEN max(age) < 30 THEN 'ok' ELSE 'degraded' END AS status FROM (SELECT {NOW} - max(heartbeat_at) AS age FROM jobs)", "jobs")
@@ -295,7 +292,16 @@ def final_progress(spark, sf_dir):
     return jobs.final_progress(ended, 0.0).select("job_id", "current", "total", "percent", "status")
 
 
-@query()
+OWN = "CASE WHEN status IN ('processing', 'cancel_requested') THEN ['CANCELLED', 'DRAIN', 'TIMEOUT', 'DEAD'][CAST(id AS BIGINT) % 4 + 1] ELSE '' END"
+
+
+@query(
+    f"WITH {fixtures.DUCK['jobs']}, o AS (SELECT *, {OWN} AS own FROM jobs), p AS (SELECT *, group_id IS NOT NULL AND bool_or(own IN ('CANCELLED', 'DRAIN')) OVER (PARTITION BY group_id) AS stop, group_id IS NOT NULL AND bool_or(own = 'DRAIN') OVER (PARTITION BY group_id) AS drained FROM o), "
+    f"e AS (SELECT *, own = 'CANCELLED' AND status NOT IN {TERMINAL} OR status = 'cancel_requested' AND (stop OR own = 'DRAIN') AS ends, status IN ('queued', 'processing', 'saving') AND (drained OR own = 'DRAIN') AS drains FROM p), "
+    f"a AS (SELECT *, drains AND NOT ends AS again, own IN ('TIMEOUT', 'DEAD') AND status NOT IN {TERMINAL} AND NOT ends AND NOT drains AS crashed FROM e) "
+    "SELECT id, CASE WHEN ends THEN 'cancelled' WHEN again THEN 'queued' WHEN crashed AND attempts >= 2 THEN 'error' WHEN crashed THEN 'queued' ELSE status END AS status, CASE WHEN crashed AND attempts < 2 THEN attempts + 1 ELSE attempts END AS attempts, "
+    "CASE WHEN crashed AND attempts >= 2 THEN CASE own WHEN 'TIMEOUT' THEN 'inference timed out' ELSE 'inference process crashed' END END AS error FROM a"
+)
 def supervisor_outcomes(spark, sf_dir):
     table = fixtures.jobs(spark, sf_dir)
     verdict = F.element_at(F.array(*(F.lit(x) for x in ("CANCELLED", "DRAIN", "TIMEOUT", "DEAD"))), (F.col("id").cast("long") % 4 + 1).cast("int"))
@@ -348,8 +354,7 @@ REQUEST = "SELECT event_id, CASE event_type WHEN 'signup' THEN 'markdown, word,m
 
 
 def _requests(spark, sf_dir):
-    fixtures.read(spark, sf_dir, "events").createOrReplaceTempView("paperloom_events")
-    return requests.validate(spark.sql(REQUEST.replace("FROM events", "FROM paperloom_events")))
+    return requests.validate(fixtures.read(spark, sf_dir, "events").selectExpr(*select_list(REQUEST)))
 
 
 VALID = f"""WITH r AS ({REQUEST}), s AS (SELECT *, list_filter(list_transform(string_split(modes, ','), lambda x: trim(x)), lambda x: x <> '') AS items FROM r),
@@ -376,8 +381,7 @@ FILES = "SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('Doc ', page_id, '.
 
 
 def _files(spark, sf_dir):
-    fixtures.read(spark, sf_dir, "pages").createOrReplaceTempView("paperloom_pages")
-    return spark.sql(FILES.replace("FROM pages", "FROM paperloom_pages"))
+    return fixtures.read(spark, sf_dir, "pages").selectExpr(*select_list(FILES))
 
 
 @query(f"SELECT page_id, filename, CASE WHEN truncated THEN 'too_large' WHEN NOT lower(filename) LIKE '%.pdf' THEN 'unsupported' ELSE reason END AS skipped FROM ({FILES})")
@@ -428,7 +432,7 @@ def verbatim_currency(spark, sf_dir):
     return spans.select("doc_id", "span", X.is_plain_dollars(F.col("span")).alias("money"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN n = '' THEN 'download' ELSE n END AS name FROM (SELECT doc_id, CASE WHEN length(n) > 200 THEN regexp_replace(substr(n, 1, 200), '[\s._]+$', '') ELSE n END AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(substr(text, 1, 300), '[\x00-\x1f\x7f]', '', 'g'), '"', ''''), '[\\/]', '_', 'g'), '[_\s]+', '_', 'g'), '^[\s._]+|[\s._]+$', '', 'g') AS n FROM documents))""")
+@query(r"""SELECT doc_id, CASE WHEN n = '' THEN 'download' ELSE n END AS name FROM (SELECT doc_id, CASE WHEN length(n) > 200 THEN regexp_replace(substr(n, 1, 200), '[\s._]+$', '') ELSE n END AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g'), '"', ''''), '[\\/]', '_', 'g'), '[_\s]+', '_', 'g'), '^[\s._]+|[\s._]+$', '', 'g') AS n FROM documents))""")
 def download_names(spark, sf_dir):
     return fixtures.read(spark, sf_dir, "documents").select("doc_id", X.download_name(F.col("text")).alias("name"))
 
@@ -472,8 +476,7 @@ PARAGRAPHS = "SELECT doc_id, page_index AS seq, text, 12 + 2 * (page_index % 4)
     "s AS (SELECT doc_id FROM p GROUP BY doc_id HAVING count(*) FILTER (heading) > 0 AND count(*) FILTER (heading) <= count(*) * 0.5) SELECT doc_id, seq, least(4, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC))::INT AS level FROM p JOIN s USING (doc_id) WHERE heading"
 )
 def heading_levels(spark, sf_dir):
-    fixtures.pages(spark, sf_dir).createOrReplaceTempView("paperloom_lines")
-    return headings.heading_levels(spark.sql(PARAGRAPHS.replace("FROM pages", "FROM paperloom_lines")))
+    return headings.heading_levels(fixtures.pages(spark, sf_dir).selectExpr(*select_list(PARAGRAPHS)))
 
 
 # ------------------------------------------------------------------ layout
@@ -503,13 +506,19 @@ def token_bbox(spark, sf_dir):
     return layout.gate(ocr_results(spark, sf_dir)).select("doc_id", "line", layout.box(F.col("poly")).alias("b")).select("doc_id", "line", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
-@query(f"WITH {fixtures.DUCK['pages']}, {LINES} SELECT doc_id, list_sort(list(x1 - x0))[len(list(x1 - x0)) // 2 + 1] AS width, max(y0 + 12) AS bottom, min(x0) AS \"left\" FROM line GROUP BY doc_id")
+@query(f"WITH {fixtures.DUCK['pages']}, {LINES} SELECT doc_id, line, y0 AS top, y0 + 12 AS bottom, x0 AS \"left\" FROM line")
 def line_extent(spark, sf_dir):
+    return layout.line_extents(layout.gate(ocr_results(spark, sf_dir))).select("doc_id", "line", "top", "bottom", "left")
+
+
+@query(f"WITH {fixtures.DUCK['pages']}, {LINES} SELECT doc_id, list_sort(list(x1 - x0))[len(list(x1 - x0)) // 2 + 1] AS width FROM line GROUP BY doc_id")
+def line_widths(spark, sf_dir):
     rows = layout.gate(ocr_results(spark, sf_dir)).withColumn("b", layout.box(F.col("poly")))
-    return rows.groupBy("doc_id").agg(layout.upper_median(F.collect_list(F.col("b.x1") - F.col("b.x0"))).alias("width"), F.max("b.y1").alias("bottom"), F.min("b.x0").alias("left"))
+    return rows.groupBy("doc_id").agg(layout.upper_median(F.collect_list(F.col("b.x1") - F.col("b.x0"))).alias("width"))
 
 
-@query()
+# Lines of this input lie 20 apart and are 12 high, so no two share a row and they follow their tops.
+@query(f"WITH {fixtures.DUCK['pages']}, {LINES} SELECT doc_id, line, (row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0) - 1)::INT AS \"order\" FROM line")
 def reading_order(spark, sf_dir):
     return layout.in_reading_order(layout.gate(ocr_results(spark, sf_dir))).select("doc_id", "line", "order")
 
@@ -530,7 +539,22 @@ def latex_render(spark, sf_dir):
     return fixtures.read(spark, sf_dir, "documents").select("doc_id", M.latex_column(F.concat("text", F.lit(" $x^{2}$ costs $5 and $8mm^{2}$"))).alias("text"))
 
 
-@query()
+# Each row has a cell A that spans r rows and, behind it, a cell B that spans c columns. held counts, by column, the rows that a cell above still takes:
+# A takes the first free column, B the next free one, columns in between and right behind B are taken over from above.
+TABLE_ROWS = """o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth, o_custkey % 3 + 1 AS r, o_orderkey % 2 + 1 AS c, o_orderstatus AS a, printf('%.2f', o_totalprice) || ' \\| ' || o_orderpriority AS b FROM orders),
+g(o_custkey, nth, held, line) AS (
+  SELECT DISTINCT o_custkey, 0::BIGINT, [0 FOR x IN range(16)]::BIGINT[], []::VARCHAR[] FROM o
+  UNION ALL
+  SELECT o_custkey, nth, list_transform(range(16), lambda x: CASE WHEN x = j1 AND r > 1 THEN r - 1 WHEN x < j1 OR x > j1 AND x < j2 OR x >= j2 + c AND x < j3 THEN held[x + 1] - 1 ELSE held[x + 1] END),
+    list_transform(range(j3), lambda x: CASE x WHEN j1 THEN a WHEN j2 THEN b ELSE ' ' END)
+  FROM (SELECT *, list_min(list_filter(range(17), lambda x: x >= j2 + c AND coalesce(held[x + 1], 0) = 0)) AS j3 FROM (SELECT *, list_min(list_filter(range(16), lambda x: x > j1 AND held[x + 1] = 0)) AS j2 FROM (
+    SELECT o.*, g.held, list_min(list_filter(range(16), lambda x: g.held[x + 1] = 0)) AS j1 FROM g JOIN o ON o.o_custkey = g.o_custkey AND o.nth = g.nth + 1))))"""
+
+
+@query(
+    f"WITH RECURSIVE {TABLE_ROWS}, w AS (SELECT o_custkey, max(len(line)) AS width FROM g GROUP BY o_custkey), l AS (SELECT o_custkey, nth, width, '| ' || array_to_string(list_transform(range(width), lambda x: coalesce(line[x + 1], ' ')), ' | ') || ' |' AS t FROM g JOIN w USING (o_custkey) WHERE nth > 0) "
+    "SELECT o_custkey, chr(10) || chr(10) || string_agg(CASE nth WHEN 1 THEN t || chr(10) || '|' || repeat(' --- |', width::INT) ELSE t END, chr(10) ORDER BY nth) || chr(10) || chr(10) AS markdown FROM l GROUP BY o_custkey"
+)
 def html_tables_to_markdown(spark, sf_dir):
     rows = fixtures.read(spark, sf_dir, "orders")
     cell = F.format_string("<tr><td rowspan='%d'>%s</td><td colspan=\"%d\">%.2f | %s</td></tr>", (F.col("o_custkey") % 3 + 1).cast("int"), F.col("o_orderstatus"), (F.col("o_orderkey") % 2 + 1).cast("int"), F.col("o_totalprice"), F.col("o_orderpriority"))
@@ -541,3 +565,6 @@ def html_tables_to_markdown(spark, sf_dir):
 @query()
 def process_markdown(spark, sf_dir):
     return fixtures.read(spark, sf_dir, "pages").select("page_id", M.markdown_column("html").alias("markdown"))
+
+
+from . import states  # noqa: E402, F401  registers the rest

@@ -10,6 +10,8 @@ JOBS = (
     "id string, group_id string, mode string, filename string, locale string, engine string, status string, attempts int, upload_path string, "
     "download_id string, result_json string, error string, created_at double, updated_at double, heartbeat_at double"
 )
+#: What the watchdog knows of a job besides.
+WATCHED = "claimed boolean, cancel_at double, heartbeat_at double"
 PROGRESS = "job_id string, current int, total int, percent int, status string, message string, updated_at double"
 HEARTBEAT = "id int, updated_at double, active_model string, gpu_json string"
 RESULT = "struct<totalPages:int,downloadId:string,imagesCount:int,originalName:string,warning:string,engine:string,notice:string>"
@@ -36,6 +38,7 @@ STALE_S, MAX_ATTEMPTS, MAX_AGE_S = 120, 3, 7200
 IDLE_S, SAVE_IDLE_S, CANCEL_GRACE_S, WORKER_STALE_S = 300, 1800, 15, 30
 QUEUE_CAP, ACTIVE_CAP, RATE = 100, 20, 60
 ZIP_CAP = 200 * 1024 * 1024
+PARSED_BYTES, TAIL_BYTES = 100 * 1024 * 1024, 64 * 1024
 
 
 def evolve(df: DataFrame, ddl: str, defaults: dict[str, object] | None = None) -> DataFrame:

@@ -32,11 +32,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").selectExpr(*_split(JOBS.format(ep=EPOCH)))
+    return read(spark, sf_dir, "events").selectExpr(*items(JOBS.format(ep=EPOCH)))
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").where("event_id % 4 <> 0").selectExpr(*_split(PROGRESS.format(k="get_json_object(props, '$.k')")))
+    return read(spark, sf_dir, "events").where("event_id % 4 <> 0").selectExpr(*items(PROGRESS.format(k="get_json_object(props, '$.k')")))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +50,13 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFra
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
-def _split(sql: str) -> list[str]:
+def items(sql: str) -> list[str]:
     """Top-level items of a select list."""
-    out, depth, item = [], 0, ""
+    out, depth, quoted, item = [], 0, False, ""
     for c in sql:
-        depth += (c == "(") - (c == ")")
-        if c == "," and depth == 0:
+        quoted ^= c == "'"
+        depth += ((c == "(") - (c == ")")) * (not quoted)
+        if c == "," and depth == 0 and not quoted:
             out.append(item.strip())
             item = ""
         else:

@@ -27,6 +27,9 @@ from paperloom.streaming import feed
         ("$ ^{\\circ} $C", "°C"),
         ("\\(\\pm0.3\\)", "±0.3"),
         ("\\[\\frac{a}{b}\\]", "a/b"),
+        ("$\\alpha + \\beta$", "α + β"),
+        ("\\(a \\leq b \\le\\)", "a ≤ b ≤"),
+        ("$\\alpha \\beta$", "αβ"),
         ("$$a_{1}+b_{max}$$", "a₁+b_max"),
         ("$\\sqrt{x}$", "√(x)"),
         ("$\\unknown{x}$", "unknownx"),
@@ -174,7 +177,11 @@ def test_columns(spark):
     assert one(X.size_label(F.col("a")), a=1536) == "1.5 KB" and one(X.env_int(F.col("a"), 3), a="x") == 3
     assert [tuple(h) for h in one(X.heading_lines(F.col("a")), a="# A b\ntext\n### C\n#no")] == [(1, "A b"), (3, "C")]
     pdf = lambda b: one(requests.preflight(F.col("a")), a=bytearray(b))
-    assert pdf(b"") == "empty_pdf" and pdf(b"GIF89") == "not_pdf" and pdf(b"%PDF-1.7 /Encrypt 5 0 R") == "encrypted_pdf" and pdf(b"%PDF-1.7 x") is None
+    assert pdf(b"") == pdf(b"%PDF") == pdf(b"GIF89") == "not_pdf" and pdf(b"%PDF-1.7 /Encrypt 5 0 R") == "encrypted_pdf" and pdf(b"%PDF-1.7 x") == "invalid_pdf"
+    assert pdf(b"%PDF-1.4 /Root 1 0 R /EncryptMetadata true /Type /Pages /Type /Page ") is None and pdf(b"%PDF-1.4 /Root 1 0 R /Type /Pages /Count 0") == "empty_pdf"
+    large = lambda b: one(requests.preflight(F.col("a"), F.lit(200), 100), a=bytearray(b))
+    assert large(b"%PDF-1.4 anything") is None and large(b"%PDF-1.4 /Encrypt<<") == "encrypted_pdf" and large(b"%PDF-1.4 /Encrypt 5 0 R" + b" " * 65536) is None
+    assert one(requests.preflight(F.when(F.col("a") > 1, F.lit(b""))), a=1) == "invalid_pdf"
     assert tuple(one(requests.gpu_row(F.col("a")), a="RTX, 100, 20\nother")) == ("RTX", 100, 20)
     assert one(jobs.backoff_ms(F.col("a"), F.lit(False)), a=3) == 8000 and one(jobs.backoff_ms(F.col("a"), F.lit(True)), a=0) == 30000
     assert one(jobs.percent(F.col("a"), F.col("b")), a=29, b=100) == 28
@@ -216,6 +223,21 @@ def test_transitions(spark):
     assert jobs.view(jobs.with_progress(table, spark.createDataFrame([("a", 1, 2, "m")], "job_id string, current int, total int, message string"))).where("id = 'a'").first()["progress"]["percent"] == 50
 
 
+def test_watchdog(spark):
+    rows = [
+        ("a", "g1", "cancel_requested", 100.0, True, 985.0), ("b", "g1", "done", 990.0, False, None),  # 15 s of grace are not over
+        ("c", "g2", "cancel_requested", 999.0, True, 984.0), ("d", "g2", "cancel_requested", 999.0, False, 980.0),
+        ("e", "g3", "done", 999.0, True, None), ("f", "g3", "cancel_requested", 999.0, False, 900.0),  # the claimed member isn't to be cancelled
+        ("h", None, "processing", 699.0, True, None), ("i", None, "processing", 700.0, True, None), ("j", None, "processing", -801.0, True, None), ("k", None, "processing", -800.0, True, None),
+        ("l", "", "processing", None, True, None), ("m", None, "cancel_requested", 600.0, True, 990.0),
+    ]
+    table = spark.createDataFrame(rows, "id string, group_id string, status string, heartbeat_at double, claimed boolean, cancel_at double")
+    state = spark.createDataFrame([("j", "saving", "view"), ("k", "converting", ""), ("h", "processing", "saving")], "job_id string, status string, message string")
+    got = {r["watched"]: r["verdict"] for r in jobs.watch_limits(table, state, 1000.0).collect()}
+    assert got == {"g1": None, "g2": "CANCELLED", "g3": None, "job:h": "TIMEOUT", "job:i": None, "job:j": "TIMEOUT", "job:k": None, "job:l": None, "job:m": "TIMEOUT"}
+    assert {r["verdict"] for r in jobs.watch_limits(table, state, 1000.0, stopping=True).collect()} == {"DRAIN"}
+
+
 def test_known_heading_levels(spark):
     paragraphs = spark.createDataFrame([(1, 0, "A b", 14.0, True, "left"), (1, 1, "c", 12.0, False, "left"), (1, 2, "d", 12.0, False, "left"), (2, 0, "x", 20.0, True, "left")], "doc_id long, seq int, text string, size double, bold boolean, alignment string")
     known = headings.known_levels(spark.createDataFrame([(1, "## A  b\n# A b")], "doc_id long, text string"))
