@@ -99,7 +99,7 @@ def repeated_chunks(docs: DataFrame, *, bits: int = BITS, least: int = LEAST, mo
     A digest has at most one row a task in the shuffle, however many copies there are.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = rows.mapInArrow(find_chunks(bits, least, most), SENT)
+    sent = rows.mapInArrow(common.bounded(find_chunks(bits, least, most)), SENT)
     first = F.min(F.struct("doc_id", "at")).over(Window.partitionBy("k1", "k2"))
     marked = sent.withColumn("first", first)
     gone = (F.col("kind") == SPAN) | (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.at") != F.col("at"))
@@ -116,4 +116,4 @@ def dedup(docs: DataFrame, *, run: int = 1, id_col: str = "doc_id", text_col: st
     """
     rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text")
     by_doc = repeated_chunks(rows, **how).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(suffix.keep_rest(run), suffix.KEPT)
+    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(common.bounded(suffix.keep_rest(run)), suffix.KEPT)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +84,36 @@ def batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
+#: Bytes of an Arrow batch that a function sees at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over parts of batches, so that what it makes of one is bounded by bytes and not by rows; what a worker has freed goes back to the machine when the task ends."""
+
+    def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = max(1, batch.num_rows // max(1, -(-batch.nbytes // BATCH_BYTES)))
+            for a in range(0, batch.num_rows, rows):
+                yield batch.slice(a, rows)
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(parts(it))
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Freed memory that Arrow and the C library still hold, to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of simple DDL of the types that operators emit."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}

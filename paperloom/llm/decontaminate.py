@@ -6,7 +6,7 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -192,14 +192,18 @@ class Index:
         return [[b[i] for i in sorted(b)] for b in best]
 
 
-def in_portions(lists: list[list[bytes]], size: int = WORDS) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Consecutive texts of about size words together, and the number of the first."""
-    a = n = 0
-    for k, words in enumerate(lists):
-        n += len(words)
-        if n >= size or k + 1 == len(lists):
-            yield a, lists[a : k + 1]
-            a, n = k + 1, 0
+def in_portions(texts: Iterable[str], size: int = WORDS) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The words of consecutive texts, about size words together, and the number of the first text."""
+    held: list[list[bytes]] = []
+    n = k = 0
+    for k, text in enumerate(texts, 1):
+        held.append(split_words(text))
+        n += len(held[-1])
+        if n >= size:
+            yield k - len(held), held
+            held, n = [], 0
+    if held:
+        yield k - len(held), held
 
 
 POSTINGS = "id long, word binary, length long"
@@ -214,7 +218,7 @@ def post(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def indexes(benchmark: DataFrame, items: int) -> Iterator[Index]:
     """Indexes of at most ``items`` items each, under the statistics of the whole benchmark. The driver holds one index's items and words at a time."""
-    postings = common.table(benchmark.mapInArrow(post, POSTINGS), "postings")
+    postings = common.table(benchmark.mapInArrow(common.bounded(post), POSTINGS), "postings")
     lengths = postings.groupBy("id").agg(F.first("length").alias("length"))
     of = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
     # Items in order of their lengths, two numbers each, are one task's: a benchmark is a set of tests and not a corpus.
@@ -254,11 +258,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRE
             for batch in it:
                 found: list[tuple] = []
                 keys = batch.column(0).to_pylist()
-                for a, lists in in_portions([split_words(t) for t in common.texts(batch.column(1))]):
+                for a, lists in in_portions(common.texts(batch.column(1))):
                     for index in shared.value:
                         for k, leaks in enumerate(index.leaks(lists, threshold), a):
                             found += [(keys[k], item, p, score, q, r, q >= overlap and r >= overlap) for item, p, score, q, r in leaks]
                 yield common.batches({f.name: [x[c] for x in found] for c, f in enumerate(schema)}, schema)
 
-        out = out.unionByName(rows.mapInArrow(run, FOUND))
+        out = out.unionByName(rows.mapInArrow(common.bounded(run), FOUND))
     return out

@@ -198,7 +198,7 @@ def prune_wide(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
     x = held.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("x"))
     y = held.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, LINKS)
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(common.bounded(run), LINKS)
 
 
 SHIPPED = "hub long, part int, role int, doc_id long, text binary"
@@ -258,9 +258,9 @@ def verify(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFr
     members = wide.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), "part", F.lit(1).alias("role"))
     hubs = degree.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     wanted = members.unionByName(hubs).groupBy("doc_id").agg(F.collect_list(F.struct("hub", "part", "role")).alias("wanted"))
-    sent = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(ship, SHIPPED)
+    sent = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(common.bounded(ship), SHIPPED)
     sent = sent.repartition(common.cores(spark), "hub", "part").sortWithinPartitions("hub", "part", "role", "doc_id")
-    links = common.table(sent.mapInArrow(intersect(size, percent), LINKS), "links")
+    links = common.table(sent.mapInArrow(common.bounded(intersect(size, percent)), LINKS), "links")
     return links
 
 
@@ -357,21 +357,21 @@ def dealt(tiles: DataFrame) -> DataFrame:
 def pairs_in(tiles: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b of members of a tile, of different components, whose bitmaps allow the similarity."""
     rows = dealt(tiles.join(held.select("doc_id", "bits"), "doc_id")).repartition(common.cores(held.sparkSession), "key").sortWithinPartitions("key")
-    return prune_wide(rows.mapInArrow(compare_tiles(percent), LINKS).distinct(), held, percent)
+    return prune_wide(rows.mapInArrow(common.bounded(compare_tiles(percent)), LINKS).distinct(), held, percent)
 
 
 def prepared(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, unique_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """The documents, their sets' sizes and digests, classes of equal sets, prefixes and bitmaps of one document a class, and members of tokens that several of these have."""
     spark = docs.sparkSession
     rows = common.one_each(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", order="text", unique=unique_ids)
-    found = common.table(rows.mapInArrow(summarise(size), SUMMARY), "sets")
+    found = common.table(rows.mapInArrow(common.bounded(summarise(size)), SUMMARY), "sets")
     sums = found.where(F.col("kind") == DOC).select("doc_id", "n", "d1", "d2")
     classes = common.table(sums.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     # Any order of shingles gives right prefixes if all documents follow it; putting the most frequent ones last keeps groups small.
     often = found.where(F.col("kind") == TOKEN).groupBy("d1").agg(F.sum("n").alias("n")).where("n > 3").orderBy(F.desc("n"), "d1").limit(LATE)
     late = spark.sparkContext.broadcast(np.sort(np.array([r["d1"] for r in often.select("d1").collect()], np.int64).view(np.uint64)))  # at most LATE numbers
     reps = classes.select(F.col("class_id").alias("doc_id"))
-    held = common.table(rows.join(reps, "doc_id").select("doc_id", "text").mapInArrow(prefixes(size, percent, late), PREFIX), "prefixes")
+    held = common.table(rows.join(reps, "doc_id").select("doc_id", "text").mapInArrow(common.bounded(prefixes(size, percent, late)), PREFIX), "prefixes")
     tokens = held.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
     return rows, sums, classes, held, common.table(tokens.join(shared, "token"), "members")

@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int
                         out[name].append(value)
             yield common.batches(out, schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(common.bounded(run), ddl)
 
 
 def combinations(bins: int, depth: int = DEPTH, held: np.ndarray | None = None) -> np.ndarray:

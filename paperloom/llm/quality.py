@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, support: int = SUPPORT, z: float
         weights = np.zeros((2, 5 + SHAPES))
         weights[:, 0] = -30
         return Model({}, weights)
-    counts = common.table(marked.mapInArrow(count_features, COUNTS).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "n_low", "n_toxic"))).where(F.col("n") >= support), "features")
+    counts = common.table(marked.mapInArrow(common.bounded(count_features), COUNTS).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "n_low", "n_toxic"))).where(F.col("n") >= support), "features")
     words: dict[bytes, list[float]] = {}
     for k, (column, bad) in enumerate((("n_low", totals["low"]), ("n_toxic", totals["toxic"]))):
         a, b = F.col(column) + 0.5, F.col("n") - F.col(column) + 0.5
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, support: int = SUPPORT, z: float
             rows = [model.evidence(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield common.batches({"low": batch.column(1).to_pylist(), "toxic": batch.column(2).to_pylist(), "by_words": [r[0] for r in rows], "by_toxic_words": [r[1] for r in rows], "bins": [r[2] for r in rows]}, common.arrow_schema(ddl))
 
-    got = marked.mapInArrow(vectors, ddl).toArrow()  # at most `sample` rows
+    got = marked.mapInArrow(common.bounded(vectors), ddl).toArrow()  # at most `sample` rows
     terms = np.array([word_terms(a, b) for a, b in zip(got["by_words"].to_pylist(), got["by_toxic_words"].to_pylist(), strict=True)])
     bins = np.zeros((len(terms), SHAPES), np.uint8)
     for row, places in zip(bins, got["bins"].to_pylist(), strict=True):
@@ -198,7 +198,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, reject: float = REJECT, id_c
             scores = [held.value.score(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.string()), batch.column(3).cast(pa.string()), pa.array([s[0] for s in scores], pa.float64()), pa.array([s[1] for s in scores], pa.float64())], schema=schema)
 
-    scored = common.table(rows.mapInArrow(run, ddl), "scores")
+    scored = common.table(rows.mapInArrow(common.bounded(run), ddl), "scores")
     p = lambda c: 1 / (1 + F.exp(-F.col(c)))
     scored = scored.withColumn("p_low", p("low")).withColumn("p_toxic", p("tox")).withColumn("p", F.lit(1) - (1 - F.col("p_low")) * (1 - F.col("p_toxic")))
     site = F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))

@@ -7,11 +7,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -474,23 +472,23 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, h
        Groups of over ``hot_group`` runs with different texts meet window by window instead, so none grows with the input.
     """
     spark = rows.sparkSession
-    sent = rows.mapInArrow(find_stretches(length, gram), SENT)
+    sent = rows.mapInArrow(common.bounded(find_stretches(length, gram)), SENT)
     of_gram = Window.partitionBy("k1")
     counted = sent.withColumn("c", F.count(F.lit(1)).over(of_gram)).withColumn("differ", F.min("k2").over(of_gram) != F.max("k2").over(of_gram))
     is_span = F.col("kind") == SPAN
     found = common.table(counted.where(is_span | (F.col("c") > 1)).select(is_span.alias("is_span"), "k1", "doc_id", "at", "n", ((F.col("c") > hot_group) & F.col("differ")).alias("hot")), "stretches")
     spans = found.where("is_span").select("doc_id", F.col("at").alias("start"), F.col("n").alias("stop"))
     wanted = found.where("not is_span").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "at", "n", "hot")).alias("wanted"))
-    texts = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut_texts(length), TEXTS)
-    more = texts.repartition(common.cores(spark), "key").sortWithinPartitions("key", "text", "doc_id", "at").mapInArrow(compare(length, block), SPANS)
+    texts = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(common.bounded(cut_texts(length)), TEXTS)
+    more = texts.repartition(common.cores(spark), "key").sortWithinPartitions("key", "text", "doc_id", "at").mapInArrow(common.bounded(compare(length, block)), SPANS)
     return spans.unionByName(common.table(more, "spans"))
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def keep_rest(least: int = 1):
-    """Bytes outside the spans. Spans that meet are one run; runs shorter than ``least`` stay, unless they are the whole text."""
+def keep_rest(least: int = 1, whole: bool = False):
+    """Bytes outside the spans. Spans that meet are one run; runs shorter than ``least`` stay, unless they are the whole text. ``whole``: parts of characters that a cut has left go too."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = common.arrow_schema(KEPT)
@@ -505,15 +503,16 @@ def keep_rest(least: int = 1):
                         runs.append([a, b])
                 runs = [r for r in runs if r[1] - r[0] >= min(least, len(text))]
                 left = b"".join(text[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(text)], strict=True))
-                for name, value in zip(out, (key, len(text), len(text) - len(left), len(runs), left), strict=True):
+                kept = left.decode("utf-8", "ignore").encode() if whole and runs else left
+                for name, value in zip(out, (key, len(text), len(text) - len(left), len(runs), kept), strict=True):
                     out[name].append(value)
             yield common.batches(out, schema)
 
     return run
 
 
-def dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", unique_ids: bool = False, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of each document.
+def dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", unique_ids: bool = False, whole: bool = False, **how) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay; with ``whole``, without parts of characters that a cut has left) of each document.
 
     Null text counts as empty, and texts shorter than ``length`` stay whole. Rows without an id are left out; of rows that repeat
     an id the one with the smallest text (null last) stays. Empty tables give an empty result; extra columns are not read.
@@ -521,10 +520,4 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text
     rows = ids_and_texts(docs, id_col, text_col, unique_ids)
     spans = repeated_spans(rows, length=length, **how)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(keep_rest(), KEPT)
-
-
-@F.pandas_udf(T.StringType())
-def whole_characters(kept: pd.Series) -> pd.Series:
-    """Kept bytes as text, without the parts of characters that a cut has left."""
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(common.bounded(keep_rest(whole=whole)), KEPT)

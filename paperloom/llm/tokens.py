@@ -89,4 +89,4 @@ def count_by_section(docs: DataFrame, tokenizer: str, pattern: str, *, rule: str
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x) for x in np.concatenate(out, axis=1))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SECTIONS)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(common.bounded(run), SECTIONS)

@@ -133,6 +133,6 @@ def exact_top(queries: DataFrame, vectors: DataFrame, *, k: int = K, scale: int
                         out[2].append(scores)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], schema=schema)
 
-    found = held.join(asked, "b").select("held", "asked").repartition(max(1, min(blocks * query_blocks, 8 * common.cores(spark)))).mapInArrow(search, ddl)
+    found = held.join(asked, "b").select("held", "asked").repartition(max(1, min(blocks * query_blocks, 8 * common.cores(spark)))).mapInArrow(common.bounded(search), ddl)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
