@@ -39,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings of 100 that occur earlier; untouched ones as they were. Parts of characters that a cut leaves behind go, and so do documents of which nothing but white space is left."""
     docs = _rows(docs)
-    kept = suffix.dedup(docs, unique_ids=True).select("doc_id", "n_removed", suffix.whole_characters(F.col("kept")).alias("rest"))
+    kept = suffix.dedup(docs, unique_ids=True, whole=True).select("doc_id", "n_removed", F.col("kept").cast("string").alias("rest"))
     rows = docs.select("doc_id", F.col("text").isNull().alias("was_null"), "lang", "source", F.col("n_chars").alias("chars_before"))
     text = F.when(~F.col("was_null"), F.col("rest"))
     chars = F.when(F.col("n_removed") == 0, F.col("chars_before")).otherwise(F.length(text).cast("long"))
