@@ -90,7 +90,7 @@ def brute_stretches(text, dice=licenses.DICE):
 def test_license_scan_of_every_length_is_brute_force(spark):
     gpl = "This work is licensed under the terms of the GNU General Public License, version 3"
     r, texts = random.Random(7), [None, "", "mit", "mit license " * 30, f"It says: {gpl}, as it stands.", f"{gpl}. {gpl}; some words. {licenses.TEMPLATES['GPL-3.0-line']}"]
-    w = licenses.TEMPLATES["BSD-2-Clause"].split()
+    w = licenses.TEMPLATES["BSD-2-or-3-Clause"].split()
     texts.append("start " + " ".join([*w[:10], "which", "we", "did", "not", "want", "here", *w[10:]]) + " end")
     w = licenses.TEMPLATES["Apache-2.0-line"].split()
     texts.append(" ".join([*w[:3], *["foo"] * 200, *w[3:]]))
@@ -109,7 +109,7 @@ def test_license_scan_of_every_length_is_brute_force(spark):
     want = {i: h for i, t in enumerate(texts) if (h := brute_stretches(t))}
     assert {k: sorted(v) for k, v in got.items()} == want
     assert [x[0] for x in want[4]] == ["GPL-3.0-line"] and not brute_licenses(texts[4])
-    assert [x[0] for x in want[6]] == ["BSD-2-Clause"] and not brute_licenses(texts[6])
+    assert [x[0] for x in want[6]] == ["BSD-2-or-3-Clause"] and not brute_licenses(texts[6])
 
 
 # ---------------------------------------------------------------- 5
