@@ -147,7 +147,7 @@ class Index:
         half, blocks = self.half, self.blocks
         if not blocks:
             return
-        size = np.array([len(w) for w in lists])
+        size = np.array([len(w) for w in lists], np.int64)
         starts = np.cumsum(size) - size
         known = np.fromiter(map(self.terms.get, itertools.chain.from_iterable(lists), itertools.repeat(-1)), np.int64, int(size.sum()))
         # Passages of each text, numbered through; the half that a word is in belongs to the passage it opens and to the one before.

@@ -181,7 +181,8 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, dice: floa
     met = rows.where(F.size("words") > 1).select("doc_id", "words", F.posexplode(pairs).alias("at", "bigram")).join(F.broadcast(table), "bigram")
     start = F.col("at") - F.col("place")
     laid = met.select("doc_id", "license", "t_words", "t_size", "t_grams", F.greatest(start, F.lit(0)).alias("from"), F.least(start + F.col("t_words"), F.size("words")).alias("to"), "words").dropDuplicates(["doc_id", "license", "from", "to"])
-    laid = laid.where((F.col("to") - F.col("from") - 1) * (2 - dice) >= F.col("t_size") * dice)
+    most = F.col("to") - F.col("from") - 1
+    laid = laid.where(2.0 * most / (most + F.col("t_size")) >= dice)  # as the coefficient itself is worked out, so that equality passes
     own = F.array_distinct(F.transform(F.sequence(F.col("from") + 1, F.col("to") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1))))
     found = laid.select("doc_id", "license", "t_words", "t_size", "from", "to", F.size(own).alias("size"), F.size(F.array_intersect(own, F.col("t_grams"))).alias("shared"))
     found = found.withColumn("dice", 2.0 * F.col("shared") / (F.col("size") + F.col("t_size"))).where(F.col("dice") >= dice)
