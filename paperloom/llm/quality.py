@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, jaccard
 
 #: Labelled documents on which the classifier is fitted, at most: it bounds what the driver and the executors hold of words and weights.
 SAMPLE = 40_000
@@ -81,6 +81,15 @@ def count_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from send()
 
 
+KEYS = "doc_id long, key long"
+
+
+def least_shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        keys = [int(s[0]) >> 1 if len(s) else -1 for s in jaccard.shingle_sets(jaccard.raw(batch))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64())], schema=common.arrow_schema(KEYS))
+
+
 def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -129,7 +138,7 @@ def logistic(terms: np.ndarray, bins: np.ndarray, y: np.ndarray, ridge: float =
 def fit(docs: DataFrame, labels: DataFrame, *, support: int = SUPPORT, z: float = Z, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents, those with the smallest hashes of their ids, chosen among all.
 
-    Words are weighed by grouped counts: a log odds ratio r with variance v has weight r * max(0, 1 - v / r^2), where it stands z errors or more
+    Of copies and near copies among them one stays. Words are weighed by grouped counts: a log odds ratio r with variance v has weight r * max(0, 1 - v / r^2), where it stands z errors or more
     above 0. Every such word of the sample comes to the driver. How their sums and the text's shape go together is fitted on the same documents.
     The chosen ids meet the documents by broadcast, so no text is shuffled.
     """
@@ -137,7 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, support: int = SUPPORT, z: float
     if n > 2 * sample:  # a bound that holds half as many again, so that the sort need not see all labels
         hashed = hashed.where(F.col("h") < int(-(2**63) + 2**64 * (1.5 * sample / n)))
     chosen = hashed.orderBy("h", "doc_id").limit(sample).drop("h")
-    marked = common.table(docs.join(F.broadcast(chosen), "doc_id").select("text", "low", "toxic"), "marked")
+    marked = common.table(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "low", "toxic"), "marked")
+    # Copies are no evidence of their own: of documents with the same least shingle, as copies and most near copies have, one counts.
+    heads = marked.select("doc_id", "text").mapInArrow(common.bounded(least_shingles), KEYS).groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    marked = common.table(marked.join(F.broadcast(heads), "doc_id", "left_semi").select("text", "low", "toxic"), "heads")
     totals = marked.agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).first()
     n = totals["n"] or 0
     if not n:
