@@ -25,7 +25,7 @@ END_ID = 2
 #: Pieces of up to SHORT tokens are counted by their exact length and bundled, pieces of one length to at most BUNDLE tokens.
 SHORT, BUNDLE = 128, 512
 #: Pieces that are ranked in one task.
-RANKED = 200_000
+RANKED = 1_000
 #: Characters that are encoded together.
 GROUP_CHARS = 1_000_000
 

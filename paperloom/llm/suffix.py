@@ -479,7 +479,7 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, h
     found = common.table(counted.where(is_span | (F.col("c") > 1)).select(is_span.alias("is_span"), "k1", "doc_id", "at", "n", ((F.col("c") > hot_group) & F.col("differ")).alias("hot")), "stretches")
     spans = found.where("is_span").select("doc_id", F.col("at").alias("start"), F.col("n").alias("stop"))
     wanted = found.where("not is_span").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "at", "n", "hot")).alias("wanted"))
-    texts = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(common.bounded(cut_texts(length)), TEXTS)
+    texts = rows.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(common.bounded(cut_texts(length)), TEXTS)
     more = texts.repartition(common.cores(spark), "key").sortWithinPartitions("key", "text", "doc_id", "at").mapInArrow(common.bounded(compare(length, block)), SPANS)
     return spans.unionByName(common.table(more, "spans"))
 
@@ -518,6 +518,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text
     an id the one with the smallest text (null last) stays. Empty tables give an empty result; extra columns are not read.
     """
     rows = ids_and_texts(docs, id_col, text_col, unique_ids)
+    # What is joined to the texts grows with them, so both joins are by merge at every size.
     spans = repeated_spans(rows, length=length, **how)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(common.bounded(keep_rest(whole=whole)), KEPT)
+    return rows.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(common.bounded(keep_rest(whole=whole)), KEPT)
