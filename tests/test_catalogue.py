@@ -61,3 +61,10 @@ def test_clean_markdown_keeps_cut_entities(spark, tmp_path):
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got, want = against_sql(spark, "clean_markdown", "pages", tmp_path)
     assert got == want and "&&&amp</title> © 5 &lt; <b>" in str(got)
+
+
+def test_job_state_changes_on_odd_events(spark, tmp_path):
+    events = [(0, 5, "signup"), (1, 5, "view"), (None, 5, "signup"), (None, None, "signup"), (2, None, "signup"), (3, None, "error"), (70, None, "signup"), (-70, 6, "signup"), (-69, 6, None), (4, 5, None), (64, 5, "signup")]
+    spark.createDataFrame([(i, None, u, t) for i, u, t in events], "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got, want = against_sql(spark, "job_state_changes", "events", tmp_path)
+    assert got == want and len(got) == 8

@@ -1,5 +1,6 @@
 """Golden cases and properties of the sequential text functions, the layout and the transitions."""
 
+import random
 from datetime import datetime
 
 import numpy as np
@@ -287,6 +288,26 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert got == want and final == {"a": "cancelled", "b": "cancelled", "c": "done", "d": "queued"}
 
 
+def test_batch_walks_jobs_over_batches(spark):
+    """One long job among short ones, in batches of three rows: as pandas folds each job; the plan has no call of Python for each job."""
+    rng = random.Random(4)
+    kinds = ["enqueue", "claim", "promote", "drain", "stale", "crash", "cancel", "done"]
+    log = [(j, s, datetime(2024, 1, 1), "enqueue" if s == 0 else rng.choice(kinds[1:7])) for j, n in [("", 9), ("long", 200), (None, 5), *((f"j{k}", 1 + k % 4) for k in range(60))] for s in range(n)]
+    rng.shuffle(log)
+    want = []
+    for j in {r[0] for r in log}:
+        want += [(j, *c) for c in feed.fold(pd.DataFrame([(s, k) for x, s, _, k in log if x == j], columns=["seq", "kind"]))]
+    key = lambda r: (r[0] is None, r[0] or "", r[1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = feed.job_states_batch(spark.createDataFrame([*log, ("long", None, None, "enqueue"), ("none", None, None, "enqueue")], feed.EVENT))
+        assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(want, key=key)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
 def test_change_feed_and_rates(spark, tmp_path):
     rows = [("a", "processing", 1.0), ("a", "done", 2.0), ("b", "queued", 1.0)]
     spark.createDataFrame(rows, "id string, status string, updated_at double").write.parquet(str(tmp_path / "jobs"))
