@@ -262,6 +262,36 @@ def test_top_k_is_brute_force(spark, monkeypatch):
     assert topk.exact_top(df.limit(0), df).collect() == []
 
 
+@pytest.mark.parametrize("largest", [3, 200, 10**6, 10**9])
+def test_top_k_over_cells(spark, largest):
+    """Several parts, groups and blocks, two lengths, many ties, sums beyond what floating point holds; no row of the plan gathers others, and nothing is broadcast."""
+    r = np.random.default_rng(largest)
+    v = {i: r.integers(-largest, largest + 1, 3 if i % 7 else 2) for i in range(700)} | {i: np.full(3, largest) for i in range(700, 800)}
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in v.items()], "vec_id long, embedding array<double>").repartition(3)
+    out = topk.exact_top(df.where("vec_id % 50 = 0"), df, scale=1, block=40, query_block=5)
+    expected = set()
+    for q in range(0, 800, 50):
+        best = sorted((-int(v[q] @ x), i) for i, x in v.items() if i != q and len(x) == len(v[q]))[:5]
+        expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {tuple(x) for x in out.collect()} == expected
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+
+
+def test_top_k_stops_at_the_threshold(monkeypatch):
+    r = np.random.default_rng(6)
+    v = r.integers(-3, 4, (4000, 8))
+    v[1000:1040] = r.integers(60, 90, (40, 8))
+    best, scored = topk.Best(np.array([-1, 1005]), v[[1001, 1005]], 5), []
+    full = topk.Lists.score
+    monkeypatch.setattr(topk.Lists, "score", staticmethod(lambda b, part, queries, ids, vectors: (scored.append(len(ids)), full(b, part, queries, ids, vectors))))
+    topk.Lists(np.arange(4000), v).search(best)
+    topk.Lists(np.arange(4000, 4000 + 900), v[:900]).search(best)
+    assert sum(scored) < 1500  # the second block's largest sum is below the fifth best, so nothing of it is scored
+    for own, q, ids, scores in zip((-1, 1005), v[[1001, 1005]], best.ids, best.scores, strict=True):
+        assert [*zip(scores.tolist(), ids.tolist(), strict=True)] == [(-s, i) for s, i in sorted((-int(q @ x), i) for i, x in enumerate(v) if i != own)[:5]]
+
+
 # ---------------------------------------------------------------- 8
 
 
